@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from agrolith.operators.summary import summarize_weather
 
-_ALL = Window.partitionBy("covariable")
+
+def _all():
+    return Window.partitionBy("covariable")
+
 
 
 @dataclass
@@ -48,7 +51,7 @@ def impute(w: DataFrame, how: str = "none", k: int = 5) -> DataFrame:
         whole = full.groupBy("covariable").agg(F.max(F.col("value").isNull().cast("int")).alias("lacks")).where("lacks = 0")
         return full.join(whole.select("covariable"), "covariable", "left_semi").select("env", "covariable", "value")
     if how in ("mean", "median"):
-        fill = F.avg("value").over(_ALL) if how == "mean" else F.median("value").over(_ALL)
+        fill = F.avg("value").over(_all()) if how == "mean" else F.median("value").over(_all())
         return full.select("env", "covariable", F.coalesce("value", fill).alias("value"))
     if how == "knn":
         return _impute_knn(full, k)
@@ -57,8 +60,8 @@ def impute(w: DataFrame, how: str = "none", k: int = 5) -> DataFrame:
 
 def _impute_knn(full: DataFrame, k: int) -> DataFrame:
     """Means over the k nearest environments that have the cell, by root mean square distance of standardised shared cells."""
-    sd = F.stddev_samp("value").over(_ALL)
-    z = full.withColumn("z", (F.col("value") - F.avg("value").over(_ALL)) / F.when(sd > 0, sd).otherwise(1.0))
+    sd = F.stddev_samp("value").over(_all())
+    z = full.withColumn("z", (F.col("value") - F.avg("value").over(_all())) / F.when(sd > 0, sd).otherwise(1.0))
     lacking = z.where("value IS NULL").select(F.col("env").alias("a"), "covariable")
     short = z.join(lacking.select(F.col("a").alias("env")).distinct(), "env", "left_semi")
     left, right = short.where("z IS NOT NULL").select(F.col("env").alias("a"), "covariable", F.col("z").alias("za")), z.where("z IS NOT NULL").select(F.col("env").alias("b"), "covariable", F.col("z").alias("zb"))
@@ -66,7 +69,7 @@ def _impute_knn(full: DataFrame, k: int) -> DataFrame:
     donors = lacking.join(near, "a").join(full.select(F.col("env").alias("b"), "covariable", "value").where("value IS NOT NULL"), ["b", "covariable"])
     first = Window.partitionBy("a", "covariable").orderBy("d", "b")
     means = donors.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).groupBy(F.col("a").alias("env"), "covariable").agg(F.avg("value").alias("fill"))
-    return full.join(means, ["env", "covariable"], "left").select("env", "covariable", F.coalesce("value", "fill", F.avg("value").over(_ALL)).alias("value"))
+    return full.join(means, ["env", "covariable"], "left").select("env", "covariable", F.coalesce("value", "fill", F.avg("value").over(_all())).alias("value"))
 
 
 def moments(w: DataFrame) -> DataFrame:

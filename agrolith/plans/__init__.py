@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agrolith.plans import phenology, weather
+from agrolith.plans import models, phenology, weather
 
-MODULES = (weather, phenology)
+MODULES = (weather, phenology, models)
 
 
 def queries() -> dict:
