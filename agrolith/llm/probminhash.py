@@ -9,11 +9,13 @@ Steps, all over DataFrames:
 
 1. equal word sequences are grouped first; one representative of each goes on;
 2. signatures are cut into bands; representatives with an equal band share a bucket;
-3. in each bucket all are compared with its least member (the leader), never with one another; those that are not
-   similar to it stay for another round with a leader of their own. A bucket of a third of all rows is a join with one
-   row on one side, which can be split. What rounds leave (unlike documents that share a bucket by chance or for a
-   common passage) is compared in one task for each bucket: estimates from the signatures first, and all pairs whose
-   estimate is within ``slack`` of the threshold by their shingles; no pair but a link leaves the task;
+3. in each bucket all are compared with its least member (the leader), never with one another. Those that are not
+   similar to it stay for another round with another leader, and so do those similar ones that can still be similar to
+   one that stays: one less the similarity is a metric, so a link needs distances to the leader that differ by no more
+   than a link's own. A bucket of a third of all rows is a join with one row on one side, which can be split. What
+   rounds leave in buckets of more than one class is compared in one task for each bucket: only members of different
+   classes, estimates from the signatures first, and those within ``slack`` of the threshold by their shingles; no
+   pair but a link leaves the task. So no link between documents that share a bucket is lost;
 4. pairs are verified by the exact similarity of their shingles;
 5. verified links become classes by repeated minima over neighbours, with short cuts; nothing is collected.
 
@@ -36,6 +38,9 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from agrolith.llm.common import bounded_batches, checkpoint, saved, shuffle_partitions
 
 
+_EPS = 1e-9
+
+
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
@@ -150,48 +155,47 @@ def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, np.frombuffer(counts, "<u2").astype(np.int64) if counts else np.ones(len(h), np.int64)
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, 8 << 20):
-            a, b, ah, ac, bh, bc = (batch.column(i).to_pylist() for i in range(6))
-            out, last, right = [], None, None
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, right = b[i], _unpacked(bh[i], bc[i])
-                out.append(similarity(_unpacked(ah[i], ac[i]), right) >= threshold - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "similar"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded_batches(batches, 8 << 20):
+        a, b, ah, ac, bh, bc = (batch.column(i).to_pylist() for i in range(6))
+        out, last, right = [], None, None
+        for i in range(len(a)):
+            if b[i] != last:
+                last, right = b[i], _unpacked(bh[i], bc[i])
+            out.append(similarity(_unpacked(ah[i], ac[i]), right))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
 def _finish(settings: Settings):
-    """Links inside what is left of each bucket; rows come sorted by bucket."""
+    """Links (a, b) between classes inside what is left of each bucket; rows come sorted by bucket."""
+    near_enough = settings.similarity - settings.slack
 
-    def links(ids: list[int], sets: list) -> Iterator[tuple[int, int]]:
+    def links(classes: list[int], sets: list) -> Iterator[tuple[int, int]]:
         sig = np.concatenate([signatures([h for h, _ in part], [c for _, c in part], settings.registers) for part in (sets[i : i + 200] for i in range(0, len(sets), 200))]).astype(np.uint32)
-        size = np.array([weights(c).sum() for _, c in sets])
-        for i in range(1, len(ids)):
-            near = np.flatnonzero(np.minimum(size[:i], size[i]) >= (settings.similarity - settings.slack) * np.maximum(size[:i], size[i]))
-            near = near[(sig[near] == sig[i]).mean(axis=1) >= settings.similarity - settings.slack]
+        size, label = np.array([weights(c).sum() for _, c in sets]), np.array(classes)
+        for i in range(1, len(sets)):
+            near = np.flatnonzero((label[:i] != label[i]) & (np.minimum(size[:i], size[i]) >= near_enough * np.maximum(size[:i], size[i])))
+            near = near[(sig[near] == sig[i]).mean(axis=1) >= near_enough]
             for k in near:
-                if similarity(sets[i], sets[k]) >= settings.similarity - 1e-9:
-                    yield ids[i], ids[k]
+                if label[k] != label[i] and similarity(sets[i], sets[k]) >= settings.similarity - _EPS:
+                    yield int(label[i]), int(label[k])
+                    label[label == max(label[i], label[k])] = min(label[i], label[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, ids, sets = None, [], []
+        bucket, classes, sets = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = list(links(ids, sets)) if len(ids) > 1 else []
+            found = list(links(classes, sets)) if len(sets) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
         for batch in bounded_batches(batches, 8 << 20):
-            for k, i, h, c in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            for k, c, h, n in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
                 if k != bucket:
                     yield from done()
-                    bucket, ids, sets = k, [], []
-                ids.append(i)
-                sets.append(_unpacked(h, c))
+                    bucket, classes, sets = k, [], []
+                classes.append(c)
+                sets.append(_unpacked(h, n))
         yield from done()
 
     return run
@@ -224,27 +228,43 @@ def classes(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     texts = checkpoint(rows.groupBy("key").agg(F.min("id").alias("text_id")))
     chosen = sketches.join(texts, (F.col("id") == F.col("text_id")) & (sketches["key"] == texts["key"]), "left_semi")
     members = chosen.select("id", F.explode("bands").alias("bucket"))
-    sets = sketches.select(F.col("id").alias("s_id"), "hashes", "counts")
+    sets, links, least = None, None, settings.similarity - _EPS
 
-    found = []
     for _ in range(settings.rounds):
         leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
         led = checkpoint(members.join(leaders, "bucket").where("id <> leader"))
+        if sets is None:
+            sets = _sets_of(sketches, led)
         pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         left = pairs.join(sets, F.col("a") == F.col("s_id")).select("a", "b", F.col("hashes").alias("ah"), F.col("counts").alias("ac"))
         both = left.join(sets, F.col("b") == F.col("s_id")).select("a", "b", "ah", "ac", "hashes", "counts")
-        verdicts = checkpoint(both.mapInArrow(_verify(settings.similarity), "a long, b long, similar boolean"))
-        found.append(verdicts.where("similar").select("a", "b"))
-        unlike = verdicts.where("not similar").select(F.col("a").alias("u_a"), F.col("b").alias("u_b"))
-        members = checkpoint(led.join(unlike, (F.col("id") == F.col("u_a")) & (F.col("leader") == F.col("u_b"))).select("id", "bucket"))
-    busy = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rest = members.join(busy, "bucket").join(sets, F.col("id") == F.col("s_id")).select("bucket", "id", "hashes", "counts")
-    rest = rest.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
-    found.append(rest.mapInArrow(_finish(settings), "a long, b long"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    labels = components(links.distinct())
-    named = texts.join(labels, F.col("text_id") == F.col("node"), "left").select("key", "text_id", F.coalesce("label", "text_id").alias("class_id"))
+        verdicts = checkpoint(both.mapInArrow(_verify, "a long, b long, similarity double"))
+        new = verdicts.where(F.col("similarity") >= least).select("a", "b")
+        links = new if links is None else links.union(new)
+        judged = led.join(verdicts, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b"))).select("id", "bucket", "similarity")
+        # Buckets without an unlike member are done. A like member stays if an unlike one can be near it.
+        nearest = judged.where(F.col("similarity") < least).groupBy(F.col("bucket").alias("b_bucket")).agg(F.max("similarity").alias("nearest"))
+        stays = (F.col("similarity") < least) | (F.col("similarity") <= F.col("nearest") + (1 - settings.similarity) + _EPS)
+        members = checkpoint(judged.join(nearest, F.col("bucket") == F.col("b_bucket")).where(stays).select("id", "bucket"))
+
+    if links is None:
+        sets = sketches.select(F.col("id").alias("s_id"), "hashes", "counts")
+        links = df.sparkSession.createDataFrame([], "a long, b long")
+    first = components(links)
+    classed = members.join(first, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("label", "id").alias("class"))
+    split = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rest = classed.join(split, "bucket").join(sets, F.col("id") == F.col("s_id")).select("bucket", "class", "hashes", "counts", "id")
+    rest = rest.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "id").drop("id")
+    second = components(checkpoint(rest.mapInArrow(_finish(settings), "a long, b long")))
+    second = second.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+    labels = first.join(second, F.col("label") == F.col("n2"), "left").select("node", F.coalesce("l2", "label").alias("label"))
+    alone = second.join(first, F.col("n2") == F.col("node"), "left_anti").select(F.col("n2").alias("node"), F.col("l2").alias("label"))
+    named = texts.join(labels.union(alone), F.col("text_id") == F.col("node"), "left").select("key", "text_id", F.coalesce("label", "text_id").alias("class_id"))
     null = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
     return rows.withColumnRenamed("id", "doc_id").join(named, "key").select(null("doc_id"), null("class_id"), null("text_id"))
+
+
+def _sets_of(sketches: DataFrame, led: DataFrame) -> DataFrame:
+    """The shingle sets of the documents that share a bucket: what later joins move."""
+    needed = led.select("id").union(led.select("leader")).distinct()
+    return saved(sketches.select("id", "hashes", "counts").join(needed, "id", "left_semi").withColumnRenamed("id", "s_id"))
