@@ -12,14 +12,14 @@ these too are interchangeable; a null text has checksum and size of an empty one
 from __future__ import annotations
 
 import math
+from struct import pack
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from agrolith.llm.common import RangeBuckets, shuffle_partitions
 
-#: A Mersenne prime: products of residues stay below 2^62.
-_P = (1 << 31) - 1
 ROUNDS = 6
 
 
@@ -29,27 +29,20 @@ def domain(n: int) -> tuple[int, int]:
     return min(((a, -(-n // a)) for a in range(max(1, root - 50), root + 51)), key=lambda ab: (ab[0] * ab[1], abs(ab[0] - ab[1])))
 
 
-def _round_keys(seed: int) -> list[tuple[int, int]]:
-    """Multipliers and offsets from a linear congruential generator."""
-    out, x = [], seed % _P
-    for _ in range(ROUNDS):
-        x = (48271 * (x + 11)) % _P
-        y = (48271 * (x + 7)) % _P
-        out.append((x | 1, y))
-        x = y
-    return out
+def _hashed(x: int, seed: int, i: int) -> int:
+    """Spark's xxhash64 of the row (x, round key), signed."""
+    h = xxh64_intdigest(pack("<q", seed * ROUNDS + i), xxh64_intdigest(pack("<q", x), 42))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def feistel(x: int, a: int, b: int, seed: int) -> int:
     """The network for one number, in Python: for lookups and tests."""
     left, right = divmod(x, b)
-    for i, (m, c) in enumerate(_round_keys(seed)):
+    for i in range(ROUNDS):
         if i % 2 == 0:
-            t = (right % _P * m + c) % _P
-            left = (left + (t * t + right) % _P) % a
+            left = (left + _hashed(right, seed, i) % a) % a
         else:
-            t = (left % _P * m + c) % _P
-            right = (right + (t * t + left) % _P) % b
+            right = (right + _hashed(left, seed, i) % b) % b
     return left * b + right
 
 
@@ -62,31 +55,25 @@ def permuted(x: int, n: int, seed: int) -> int:
 
 
 def feistel_expr(x: Column, a: int, b: int, seed: int) -> Column:
-    """The network as an expression: nested one-element transforms bind the two halves, so each is computed once."""
-    keys = _round_keys(seed)
-
-    def step(pair: Column, i: int) -> Column:
-        left, right, (m, c) = pair["l"], pair["r"], keys[i]
+    """The network as an expression, for numbers below 2^53. Each round refers to either half once, so it stays small."""
+    left, right = ((x - x % b) / b).cast("bigint"), (x % b).cast("bigint")
+    for i in range(ROUNDS):
+        key = F.lit(seed * ROUNDS + i).cast("bigint")
         if i % 2 == 0:
-            moved = F.transform(F.array((right % _P * m + c) % _P), lambda t: F.struct(((left + (t * t + right) % _P) % a).alias("l"), right.alias("r")))
+            left = (left + F.pmod(F.xxhash64(right, key), F.lit(a))) % a
         else:
-            moved = F.transform(F.array((left % _P * m + c) % _P), lambda t: F.struct(left.alias("l"), ((right + (t * t + left) % _P) % b).alias("r")))
-        return F.get(moved, 0)
-
-    halves = F.array(F.struct(F.floor(x / b).cast("bigint").alias("l"), (x % b).cast("bigint").alias("r")))
-    for i in range(ROUNDS):
-        halves = F.transform(halves, (lambda i: lambda p: step(p, i))(i))
-    return F.get(F.transform(halves, lambda p: p["l"] * b + p["r"]), 0)
+            right = (right + F.pmod(F.xxhash64(left, key), F.lit(b))) % b
+    return left * b + right
 
 
 def permuted_expr(x: Column, n: int, seed: int) -> Column:
     """Cycle walking: at most a*b - n further steps, as many numbers as lie outside; only rows outside take any."""
     a, b = domain(n)
-    first = F.transform(F.array(feistel_expr(x, a, b, seed)), lambda y: y)
+    y = feistel_expr(x, a, b, seed)
     if a * b == n:
-        return F.get(first, 0)
-    walk = lambda y: F.when(y < n, y).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), y, lambda z, _: F.when(z < n, z).otherwise(feistel_expr(z, a, b, seed))))
-    return F.get(F.transform(first, walk), 0)
+        return y
+    steps = F.sequence(F.lit(1), F.lit(a * b - n))
+    return F.when(y < n, y).otherwise(F.aggregate(steps, y, lambda z, _: F.when(z < n, z).otherwise(feistel_expr(z, a, b, seed))))
 
 
 def numbered(df: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, int]:
