@@ -53,3 +53,30 @@ def within_radius(points: DataFrame, cells: DataFrame, grid: Grid, cells_around:
     at = points.withColumns({"_r": F.explode(around)}).withColumns({"_c": F.explode(around)})
     at = at.select(key, (grid.row(F.col(lat)) + F.col("_r")).alias("row"), (grid.col(F.col(lon)) + F.col("_c")).alias("col"))
     return at.join(cells, ["row", "col"]).select(key, "layer", "value")
+
+
+def get_spatial(points: DataFrame, cells: DataFrame, grid: Grid, layers: list[str], key: str = "env", lon: str = "lon", lat: str = "lat", merge: bool = False) -> DataFrame:
+    """Raster features of points, on their own or joined back to the points."""
+    found = sample_layers(points, cells, grid, layers, key, lon, lat)
+    return points.join(found.drop(lon, lat), key) if merge else found
+
+
+def get_elevation(points: DataFrame, cells: DataFrame, grid: Grid, layer: str = "elev", key: str = "env", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(key, lon, lat, ALT); null over water."""
+    return sample(points.select(key, lon, lat), cells.where(F.col("layer") == layer).drop("layer"), grid, lon, lat).withColumnRenamed("value", "ALT")
+
+
+def get_bioclim(points: DataFrame, cells: DataFrame, grid: Grid, wanted=range(1, 20), key: str = "env", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """BIO1 .. BIO19 in columns, by number."""
+    return sample_layers(points, cells, grid, bioclim_layers(wanted), key, lon, lat)
+
+
+def get_zones(points: DataFrame, cells: DataFrame, grid: Grid, legend: DataFrame, cells_around: int = 0, key: str = "env", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """The zone of each point with its legend: the cell's, or the most frequent of the cells around and its share."""
+    from agrolith.operators.zones import majority, with_legend
+
+    if cells_around:
+        found = majority(within_radius(points, cells, grid, cells_around, key, lon, lat).select(key, F.col("value").cast("int").alias("code")), key)
+    else:
+        found = sample(points.select(key, lon, lat), cells.drop("layer"), grid, lon, lat).select(key, F.col("value").cast("int").alias("code"), F.lit(1.0).alias("share"))
+    return with_legend(found, legend)
