@@ -53,6 +53,16 @@ def bounded_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20
                 yield batch.slice(at, step)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of passage, with underscores until no column of the input has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class RangeBuckets:
     """Ranges of a numeric key with near equal row counts; cuts are values that occur, at most ``n - 1`` of them.
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.llm.common import RangeBuckets, shuffle_partitions
+from agrolith.llm.common import RangeBuckets, fresh, shuffle_partitions
 
 #: Modulus of the hash that gives each empty bin its order of bins.
 _PRIME = 65_537
@@ -47,31 +47,32 @@ def with_fingerprint(df: DataFrame, text: Column, name: str, settings: Settings
     w, bins, digits = settings.words, settings.bins, settings.kept_bits // 4
     shift, low = 64 - settings.bin_bits, (1 << 64 - settings.bin_bits) - 1
     kept = [c for c in df.columns if c != name]
+    h, s, f, g, filled = fresh(df, "_hashes", "_sorted", "_first", "_bins", "_filled")
     words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r")), r"\s+")
-    df = df.select(*kept, F.transform(words, lambda x: F.xxhash64(x)).alias("_h"))
-    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - w), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(w)]))
-    shingles = F.when(F.size("_h") < w, F.array(F.xxhash64("_h"))).otherwise(windows)
+    df = df.select(*kept, F.transform(words, lambda x: F.xxhash64(x)).alias(h))
+    windows = F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(w)]))
+    shingles = F.when(F.size(h) < w, F.array(F.xxhash64(h))).otherwise(windows)
     # The greatest hash of each bin stands for an empty one, so the first of each bin in sorted order are all bins in order.
     greatest = F.array(*[F.lit((((b << shift) | low) ^ 1 << 63) - (1 << 63)).cast("bigint") for b in range(bins)])
-    df = df.select(*kept, F.sort_array(F.concat(shingles, greatest)).alias("_s"))
-    first = F.filter("_s", lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get("_s", i - 1), shift)))
-    df = df.select(*kept, first.alias("_f"))
-    df = df.select(*kept, F.transform("_f", lambda x: F.when(x.bitwiseAND(low) != low, x)).alias("_g"))
-    df = df.select(*kept, "_g", F.array_compact(F.transform("_g", lambda x, i: F.when(x.isNotNull(), i.cast("bigint")))).alias("_b"))
+    df = df.select(*kept, F.sort_array(F.concat(shingles, greatest)).alias(s))
+    first = F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(s, i - 1), shift)))
+    df = df.select(*kept, first.alias(f))
+    df = df.select(*kept, F.transform(f, lambda x: F.when(x.bitwiseAND(low) != low, x)).alias(g))
+    df = df.select(*kept, g, F.array_compact(F.transform(g, lambda x, i: F.when(x.isNotNull(), i.cast("bigint")))).alias(filled))
     rng = random.Random(bins)
     drawn = lambda most, kind: F.array(*[F.lit(rng.randrange(1, most)).cast(kind) for _ in range(bins)])
     factor, offset, tries = drawn(_PRIME, "bigint"), drawn(_PRIME, "bigint"), [drawn(bins, "int") for _ in range(_TRIES)]
     hexes = F.split(F.lit(",".join(f"{x:0{digits}x}" for x in range(1 << settings.kept_bits))), ",")
 
     def lender(i: Column) -> Column:
-        order = F.transform("_b", lambda c: ((c + 1) * F.get(factor, i) + F.get(offset, i)) % _PRIME * bins + c)
-        return F.get("_g", (F.array_min(order) % bins).cast("int"))
+        order = F.transform(filled, lambda c: ((c + 1) * F.get(factor, i) + F.get(offset, i)) % _PRIME * bins + c)
+        return F.get(g, (F.array_min(order) % bins).cast("int"))
 
     def value(x: Column, i: Column) -> Column:
-        own = F.coalesce(x, *[F.get("_g", (i + F.get(t, i)) % bins) for t in tries], lender(i), F.lit(0))
+        own = F.coalesce(x, *[F.get(g, (i + F.get(t, i)) % bins) for t in tries], lender(i), F.lit(0))
         return F.get(hexes, own.bitwiseAND((1 << settings.kept_bits) - 1).cast("int"))
 
-    return df.select(*kept, F.array_join(F.transform("_g", value), "").alias(name))
+    return df.select(*kept, F.array_join(F.transform(g, value), "").alias(name))
 
 
 def likeness(a: Column, b: Column, settings: Settings = Settings()) -> Column:
@@ -91,13 +92,14 @@ def with_next(df: DataFrame, key: str, columns: list[str], parts: int | None = N
     one row is its own next.
     """
     ranges = RangeBuckets(df, key, parts or 2 * shuffle_partitions(df.sparkSession))
+    home, bucket_name, guest_name = fresh(df, "_home", "_bucket", "_guest")
     bucket, k, last = ranges.expr(F.col(key)), F.col(key), ranges.count - 1
     above = F.when(F.coalesce(k == ranges.top, F.lit(ranges.top is None)), 0).when(F.coalesce(k.isin(ranges.cuts), F.lit(False)), bucket + 1)
     homes = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.when(above.isNotNull(), F.struct(above.cast("int").alias("bucket"), F.lit(1).alias("guest")))))
     if last == 0 and ranges.top is None:
         # All keys are null: ties by the columns alone decide, and every row is a guest as well.
         homes = F.array(*[F.struct(F.lit(0).alias("bucket"), F.lit(g).alias("guest")) for g in (0, 1)])
-    dealt = df.withColumn("_home", F.explode(homes)).select(*df.columns, F.col("_home.bucket").alias("_bucket"), F.col("_home.guest").alias("_guest"))
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.col(key).desc_nulls_last(), *columns)
+    dealt = df.withColumn(home, F.explode(homes)).select(*df.columns, F.col(home)["bucket"].alias(bucket_name), F.col(home)["guest"].alias(guest_name))
+    order = Window.partitionBy(bucket_name).orderBy(guest_name, F.col(key).desc_nulls_last(), *columns)
     following = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return following.where("_guest = 0").drop("_bucket", "_guest")
+    return following.where(F.col(guest_name) == 0).drop(bucket_name, guest_name)

@@ -212,6 +212,13 @@ def test_next_row_of_odd_keys(spark):
     assert fingerprint.with_next(df.limit(0), "k", ["t"]).count() == 0
 
 
+def test_names_of_passage_do_not_clash(docs_of):
+    df = docs_of([(1, "a b c d e f"), (2, "b c")]).select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_hashes", "_SORTED", "_first", "_bucket", "_guest", "_home")])
+    f = fingerprint.with_fingerprint(df, F.col("text"), "fp")
+    assert f.columns == [*df.columns, "fp"]
+    assert fingerprint.with_next(f, "doc_id", ["fp"]).columns == [*f.columns, "next_fp"] and fingerprint.with_next(f, "doc_id", ["fp"]).count() == 2
+
+
 def test_range_buckets(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 100 == 99, None).otherwise(F.col("id") * F.col("id")).alias("k"))
     for n in (1, 2, 7, 16, 50):
