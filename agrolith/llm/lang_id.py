@@ -5,8 +5,8 @@ embeddings; their mean goes through a linear layer. Embeddings and layer are tra
 descent in numpy. A temperature fitted on rows kept out of the training makes scores probabilities; the rejection
 threshold is the score that all but ``reject_share`` of those rows reach.
 
-The training rows are a bounded sample: at most ``per_lang`` rows of each language, chosen by a hash of their id.
-Prediction reads the text alone and whole.
+The training rows are a bounded sample: at most ``per_lang`` rows of each language, chosen by a hash of id and text,
+repeated rows once. Prediction reads the text alone and whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; ties between languages
 fall to the first by name; repeated rows are predicted each; an empty table gives no rows. Columns that the result
@@ -121,11 +121,11 @@ def fit(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     counts = {r["label"]: r["count"] for r in df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("label")).count().collect()}
     if not counts:
         return train([], [], settings)
-    order = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 40))
+    order = F.pmod(F.xxhash64("id", "text", F.lit(settings.seed)), F.lit(1 << 40))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("label") == lang, min(1.0, settings.per_lang / n)).otherwise(share)
-    found = rows.withColumn("order", order).where(F.col("order") < share * (1 << 40)).collect()
+    found = rows.withColumn("order", order).where(F.col("order") < share * (1 << 40)).dropDuplicates(["label", "order"]).collect()
     found.sort(key=lambda r: (r["order"], r["id"] is not None, r["id"], r["text"]))
     kept, seen = [], dict.fromkeys(counts, 0)
     for r in found:
