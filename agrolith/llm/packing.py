@@ -129,8 +129,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
             nonlocal number
             for own in bins:
                 at = 0
-                for (doc, ids), start, size in own:
-                    out.append((doc, start, size, len(ids) // 4, number, at, ids[4 * start : 4 * (start + size)]))
+                for (doc, total, base, ids), start, size in own:
+                    out.append((doc, start, size, total, number, at, ids[4 * (start - base) : 4 * (start - base + size)]))
                     at += size
                 number += 1
 
@@ -145,7 +145,11 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 ids += end
                 n = len(ids) // 4
-                emit(packer.add((doc, ids), n, n))
+                waiting = len(packer.rows)
+                emit(packer.add((doc, n, 0, ids), n, n))
+                if len(packer.rows) > waiting:  # of a long document only what its full sequences left is kept
+                    base = packer.rows[-1][0]
+                    packer.tags[-1] = (doc, n, base, ids[4 * base :])
                 if len(packer.rows) >= window:
                     emit(packer.fill(final=False))
             if out:
