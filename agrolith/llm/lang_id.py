@@ -3,7 +3,7 @@
 A text is its byte n-grams (2 to 4, over lower-cased letters with one space between words), hashed into a table of
 embeddings; their mean goes through a linear layer. Embeddings and layer are trained together by stochastic gradient
 descent in numpy. A temperature fitted on rows kept out of the training makes scores probabilities; the rejection
-threshold is the score that all but ``reject_share`` of those rows reach.
+threshold is the score that all but ``reject_share`` of those rows reach, and no more than ``CHANCE`` times that of a guess.
 
 The training rows are a bounded sample: at most ``per_lang`` rows of each language, chosen by a hash of id and text,
 repeated rows once. Prediction reads the text alone and whole.
@@ -30,6 +30,8 @@ UND = "und"
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _ORDERS = (2, 3, 4)
+#: The threshold is at most so many times the score of a guess: a short text that is likely of a language stays.
+CHANCE = 1.4
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     loss = [-(aim * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     threshold = float(np.quantile(_softmax(z / temperature).max(axis=1), settings.reject_share))
-    return Model(langs, embeddings, weights, bias, temperature, min(threshold, 0.5))
+    return Model(langs, embeddings, weights, bias, temperature, min(threshold, CHANCE / len(langs)))
 
 
 def fit(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
