@@ -68,6 +68,27 @@ def test_shifted_noisy_recordings_align(spark):
     assert out[200]["class_id"] == out[40]["class_id"]
 
 
+def test_keys_find_what_brute_force_aligns(spark):
+    rng, s, rows = np.random.default_rng(9), audio.Settings(), []
+    for i in range(40):
+        x = _recording(np.random.default_rng(i).normal(0, 0.15, 64))
+        cut = int(rng.integers(0, 8000))
+        rows += [(20 * i, audio.wav(x, 4000)), (20 * i + 1, audio.wav(x[cut:] + rng.uniform(0.02, 0.2) * rng.normal(size=len(x) - cut), 4000))]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "id long, audio binary"), "id", "audio")
+    items = {r["id"]: np.frombuffer(r["items"], "<u4") for r in prints.collect()}
+    want = set()
+    for q in range(0, 800, 20):
+        for c, b in items.items():
+            a = items[q]
+            for o in range(-len(a), len(b)):
+                first, last = max(0, -o), min(len(a), len(b) - o)
+                if c != q and last - first >= s.min_overlap * min(len(a), len(b)) and np.bitwise_count(a[first:last] ^ b[first + o : last + o]).mean() / 32 <= s.max_error:
+                    want.add((q, c))
+                    break
+    got = {(r["id"], m["match"]) for r in audio.search(prints, "id", F.col("id") % 20 == 0).collect() for m in r["matches"] or []}
+    assert got <= want and len(want) > 20 and len(got) >= 0.9 * len(want)
+
+
 def test_integral_image_equals_direct_sums():
     s, rng = audio.Settings(), np.random.default_rng(2)
     energy = np.abs(rng.normal(size=(40, 12)))
