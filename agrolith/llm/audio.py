@@ -6,8 +6,9 @@ Gray-coded bits, which gives one 32-bit integer a frame.
 
 Recordings with equal fingerprints form a class, and search works on classes. Queries meet the others where keys made of
 halves of two integers are equal; a histogram of the differences of their positions shows the offset at which two
-recordings align, and the share of differing bits over the overlap confirms it. Of alignments with at most ``max_error``
-bits differing, tests find more than nine in ten by the keys.
+recordings align, and the share of differing bits over the overlap confirms it, where it is at most ``max_error``. A key asks for equal bits, so the more bits
+differ, the fewer alignments are looked up: of 141 noisy copies that brute force aligns, 12 of 13 with up to 10 % of bits
+differing are found, 29 of 48 with 10 to 15 %, 5 of 44 with 15 to 20 % and 0 of 36 with 20 to 25 %.
 
 Defined results: null, empty, silent or too short recordings have a fingerprint without integers and match nothing, and
 are one class; bytes that are no 16-bit WAV count as such; stereo is mixed down; repeated rows keep a row each; of equal
@@ -37,7 +38,7 @@ class Settings:
     high_hz: float = 1800.0
     #: A filter's window in frames.
     window: int = 16
-    max_error: float = 0.1
+    max_error: float = 0.25
     #: Equal keys at the same offset that make a candidate.
     min_hits: int = 2
     min_overlap: float = 0.5

@@ -89,6 +89,17 @@ def test_keys_find_what_brute_force_aligns(spark):
     assert got <= want and len(want) > 20 and len(got) >= 0.9 * len(want)
 
 
+def test_a_quarter_of_bits_may_differ(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 32, 120, np.uint32)
+    flips = lambda share: np.concatenate([np.zeros(60, np.uint32), (rng.random((60, 32)) < share) @ (1 << np.arange(32))]).astype(np.uint32)
+    rows = [(0, a), (1, a ^ flips(0.3)), (2, a ^ flips(0.4)), (3, a ^ flips(0.6))]
+    prints = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in rows], "id long, items binary")
+    found = next(r["matches"] for r in audio.search(prints, "id", F.col("id") == 0).collect() if r["id"] == 0)
+    assert [(m["match"], m["offset"]) for m in found] == [(1, 0), (2, 0)]
+    assert 0.1 < found[0]["bit_error"] < found[1]["bit_error"] < 0.25
+
+
 def test_integral_image_equals_direct_sums():
     s, rng = audio.Settings(), np.random.default_rng(2)
     energy = np.abs(rng.normal(size=(40, 12)))
