@@ -15,7 +15,8 @@ Steps, all over DataFrames:
    than a link's own. A bucket of a third of all rows is a join with one row on one side, which can be split. What
    rounds leave in buckets of more than one class is compared in one task for each bucket: only members of different
    classes, estimates from the signatures first, and those within ``slack`` of the threshold by their shingles; no
-   pair but a link leaves the task. So no link between documents that share a bucket is lost;
+   pair but a link leaves the task. So a link between documents that share a bucket is lost only where the estimate is
+   off by more than ``slack``;
 4. pairs are verified by the exact similarity of their shingles;
 5. verified links become classes by repeated minima over neighbours, with short cuts; nothing is collected.
 
@@ -172,9 +173,9 @@ def _finish(settings: Settings):
 
     def links(classes: list[int], sets: list) -> Iterator[tuple[int, int]]:
         sig = np.concatenate([signatures([h for h, _ in part], [c for _, c in part], settings.registers) for part in (sets[i : i + 200] for i in range(0, len(sets), 200))]).astype(np.uint32)
-        size, label = np.array([weights(c).sum() for _, c in sets]), np.array(classes)
+        label = np.array(classes)
         for i in range(1, len(sets)):
-            near = np.flatnonzero((label[:i] != label[i]) & (np.minimum(size[:i], size[i]) >= near_enough * np.maximum(size[:i], size[i])))
+            near = np.flatnonzero(label[:i] != label[i])
             near = near[(sig[near] == sig[i]).mean(axis=1) >= near_enough]
             for k in near:
                 if label[k] != label[i] and similarity(sets[i], sets[k]) >= settings.similarity - _EPS:

@@ -351,6 +351,14 @@ def test_rounds_and_rest_find_the_same(docs_of):
         assert got == _brute_classes(texts), rounds
 
 
+def test_repeated_text_is_near_its_original(docs_of):
+    texts = {i: " ".join(f"t{i}w{j}" for j in range(200)) for i in range(2)}
+    rows = [(10 * i + n, " ".join([t] * n)) for i, t in texts.items() for n in (1, 2, 3)]
+    for rounds in (0, 2):
+        got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs_of(rows), probminhash.Settings(rounds=rounds)).collect()}
+        assert got == _brute_classes(dict(rows)) == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11, 13: 11}
+
+
 def test_classes_of_odd_rows(odd, no_docs):
     rows = probminhash.classes(odd.withColumn("bucket", F.lit(1))).collect()
     assert len(rows) == odd.count()
