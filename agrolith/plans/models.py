@@ -145,13 +145,11 @@ def kernel_expanded(spark, sf_dir):
 
 def _field(spark, sf_dir) -> pd.DataFrame:
     rows = phenotypes(spark, sf_dir).where("value IS NOT NULL").toPandas().sort_values(["env", "gid"]).reset_index(drop=True)
-    keep = sorted(rows["env"].unique())[:8]
-    rows = rows[rows["env"].isin(keep)].reset_index(drop=True)
     rows["value"] = (rows["value"] - rows["value"].mean()) / rows["value"].std()
     return rows
 
 
-_HOW = gibbs.Sampling(iterations=200, burnin=50, thin=5)
+_HOW = gibbs.Sampling()
 
 
 @query("kernel_model")

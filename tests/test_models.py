@@ -171,3 +171,11 @@ def test_clustering():
     for method in ("hclust", "pam", "kmeans"):
         out, tried = gibbs.cluster_environments(cor, method=method)
         assert out["medoid"].sum() == out["cluster"].nunique() and set(tried) == {2, 3, 4, 5, 6}
+
+
+def test_registered_models_take_all_environments(spark, sf):
+    from agrolith.plans import models, weather
+
+    got = models.QUERIES["kernel_model"](spark, sf).select("env", "gid").distinct().count()
+    assert got == weather.phenotypes(spark, sf).where("value IS NOT NULL").select("env", "gid").count()
+    assert models._HOW == gibbs.Sampling()
