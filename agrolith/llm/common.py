@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,11 +22,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process (tests) gets a new local folder; on a cluster it is an error, as executors
+    would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
-        path = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='agrolith-')}"
+        path = sc.getCheckpointDir()
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = path or f"file://{tempfile.mkdtemp(prefix='agrolith-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -37,11 +45,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Like checkpoint, as Parquet in the shared folder: later readers take single columns. The files stay until the folder is cleaned."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever store it is in."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables of passage in the shared folder, for a ``with`` block; at its end their files go.
+
+    What leaves the block must not read them any more: checkpoint it first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """Like checkpoint, as Parquet: later readers take single columns."""
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

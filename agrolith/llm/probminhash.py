@@ -7,22 +7,25 @@ the registers (early termination). Two registers agree with the probability Jacc
 
 Steps, all over DataFrames:
 
-1. equal word sequences are grouped first; one representative of each goes on;
-2. signatures are cut into bands; representatives with an equal band share a bucket;
+1. equal word sequences are grouped first, by a 128-bit digest; the number of one row of each stands for the text in all
+   that follows, so ids may be null or repeated;
+2. signatures are cut into bands; texts with an equal band share a bucket;
 3. in each bucket all are compared with its least member (the leader), never with one another. Those that are not
    similar to it stay for another round with another leader, and so do those similar ones that can still be similar to
    one that stays: one less the similarity is a metric, so a link needs distances to the leader that differ by no more
-   than a link's own. A bucket of a third of all rows is a join with one row on one side, which can be split. What
-   rounds leave in buckets of more than one class is compared in one task for each bucket: only members of different
-   classes, estimates from the signatures first, and those within ``slack`` of the threshold by their shingles; no
-   pair but a link leaves the task. So a link between documents that share a bucket is lost only where the estimate is
-   off by more than ``slack``;
-4. pairs are verified by the exact similarity of their shingles;
-5. verified links become classes by repeated minima over neighbours, with short cuts; nothing is collected.
-
-Defined results: the least id of a class names it; a document with fewer words than a shingle has one shingle of all its
-words; null, empty and blank texts are alike and form one class; rows with equal ids each keep a row; a null id may be a
-member and is named last. Columns other than id and text are ignored. An empty table gives no rows.
+   than a link's own. A bucket of a third of all rows is a join with one row on one side, which can be split;
+4. what rounds leave in buckets of more than one class is cut into blocks of some ``block`` members, and every two blocks
+   of a bucket meet in a cell of their own, so a task holds two blocks, however large the bucket. A cell compares members
+   of different classes, in the first of the buckets that a pair shares alone: estimates from the signatures first, and
+   those within ``slack`` of the threshold by their shingles; no pair but a link leaves the task. So a link between texts
+   that share a bucket is lost only where the estimate is off by more than ``slack``;
+5. pairs are verified by the exact similarity of their shingles;
+6. verified links become classes by repeated minima over neighbours, with short cuts; nothing is collected.
+
+Defined results: the least id of a class names it, a null only where all its ids are null; one row of each class leads it,
+one with the least id. A document with fewer words than a shingle has one shingle of all its words; null, empty and blank
+texts are alike and form one class. Repeated rows, and rows with equal ids, each keep a row and get the class of their
+text. Columns other than those named are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from agrolith.llm.common import bounded_batches, checkpoint, saved, shuffle_partitions
+from agrolith.llm.common import Scratch, bounded_batches, checkpoint, shuffle_partitions
 
 
 _EPS = 1e-9
@@ -49,8 +52,11 @@ class Settings:
     bands: int = 32
     #: Registers in a band.
     rows: int = 6
-    #: Rounds of leaders before the rest of a bucket is compared in one task.
+    #: Rounds of leaders before the rest of a bucket is compared in blocks.
     rounds: int = 2
+    #: Members and shingles of a block.
+    block: int = 256
+    block_shingles: int = 4_000_000
     #: So much below the threshold an estimate still leads to an exact comparison (over five standard errors).
     slack: float = 0.16
 
@@ -125,35 +131,56 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (only_a / w + only_b / v + above_w / w + below_v / v)).sum())
 
 
-_SKETCH = "id long, key binary, bands array<long>, hashes binary, counts binary"
+_SKETCH = "row long, id long, key binary, bands array<long>, size long, hashes binary, counts binary, firsts binary"
+_SET = ("size", "hashes", "counts", "firsts")
 
 
-def _sketch(settings: Settings):
+def _least_type(most: int) -> str:
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def buckets_of(sig: np.ndarray, settings: Settings) -> np.ndarray:
+    """A number for each band of each signature; its low bits say which band."""
+    sig = sig.reshape(-1, settings.bands, settings.rows)
+    at = np.arange(settings.bands, dtype=np.uint64)
+    band = np.broadcast_to(at, sig.shape[:2])
+    for i in range(settings.rows):
+        band = _mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
+    mask = np.uint64((1 << (settings.bands - 1).bit_length()) - 1)
+    return (band & ~mask | at).view(np.int64)
+
+
+def _sketch(settings: Settings, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, 2 << 20):
-            lists = [word_list(t) for t in batch.column(1).to_pylist()]
+            lists = [word_list(t) for t in batch.column(2).to_pylist()]
             sets = [shingles(w, settings.words) for w in lists]
-            sig = signatures([h for h, _ in sets], [c for _, c in sets], settings.registers).reshape(len(sets), settings.bands, settings.rows)
-            band = np.broadcast_to(np.arange(settings.bands, dtype=np.uint64), sig.shape[:2])
-            for i in range(settings.rows):
-                band = _mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
+            sig = signatures([h for h, _ in sets], [c for _, c in sets], settings.registers)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([xxh3_128_digest(" ".join(w)) for w in lists], pa.binary()),
-                    pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array(list(buckets_of(sig, settings)), pa.list_(pa.int64())),
+                    pa.array([len(h) for h, _ in sets], pa.int64()),
                     pa.array([h.astype("<u4").tobytes() for h, _ in sets], pa.binary()),
-                    pa.array([c.astype("<u2").tobytes() if c.max() > 1 else b"" for c in (np.minimum(c, 65535) for _, c in sets)], pa.binary()),
+                    pa.array([c.astype(_least_type(c.max())).tobytes() if c.max() > 1 else b"" for _, c in sets], pa.binary()),
+                    pa.array([np.searchsorted(h, s).astype(_least_type(len(h))).tobytes() for (h, _), s in zip(sets, sig, strict=True)], pa.binary()),
+                    *batch.columns[3:],
                 ],
-                ["id", "key", "bands", "hashes", "counts"],
+                ["row", "id", "key", "bands", *_SET, *kept],
             )
 
     return run
 
 
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+
+
 def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer(hashes, "<u4").astype(np.uint64)
-    return h, np.frombuffer(counts, "<u2").astype(np.int64) if counts else np.ones(len(h), np.int64)
+    return h, _numbers(counts, len(h)) if counts else np.ones(len(h), np.int64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,36 +194,41 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def _finish(settings: Settings):
-    """Links (a, b) between classes inside what is left of each bucket; rows come sorted by bucket."""
+def _compare(settings: Settings):
+    """Links (a, b) between classes in each cell (bucket, low, high); rows come sorted by cell."""
     near_enough = settings.similarity - settings.slack
-
-    def links(classes: list[int], sets: list) -> Iterator[tuple[int, int]]:
-        sig = np.concatenate([signatures([h for h, _ in part], [c for _, c in part], settings.registers) for part in (sets[i : i + 200] for i in range(0, len(sets), 200))]).astype(np.uint32)
-        label = np.array(classes)
-        for i in range(1, len(sets)):
-            near = np.flatnonzero(label[:i] != label[i])
-            near = near[(sig[near] == sig[i]).mean(axis=1) >= near_enough]
-            for k in near:
+    mask = (1 << (settings.bands - 1).bit_length()) - 1
+
+    def links(cell: tuple[int, int, int], members: list[tuple]) -> Iterator[tuple[int, int]]:
+        band = cell[0] & mask
+        sets = [_unpacked(h, c) for _, _, h, c, _ in members]
+        sig = np.array([h[_numbers(f, settings.registers)] for (h, _), (*_, f) in zip(sets, members, strict=True)], np.uint32)
+        block, label = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+        right = np.flatnonzero(block == cell[2])
+        for i in np.flatnonzero(block == cell[1]):
+            near = right[label[right] != label[i]]
+            near = near if cell[1] < cell[2] else near[near > i]
+            same = sig[near] == sig[i]
+            first = same.reshape(len(near), settings.bands, settings.rows).all(axis=2).argmax(axis=1)
+            for k in near[(first == band) & (same.mean(axis=1) >= near_enough)]:
                 if label[k] != label[i] and similarity(sets[i], sets[k]) >= settings.similarity - _EPS:
                     yield int(label[i]), int(label[k])
                     label[label == max(label[i], label[k])] = min(label[i], label[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, classes, sets = None, [], []
+        cell, members = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = list(links(classes, sets)) if len(sets) > 1 else []
+            found = list(links(cell, members)) if len(members) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
         for batch in bounded_batches(batches, 8 << 20):
-            for k, c, h, n in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-                if k != bucket:
+            for *k, block, label, hashes, counts, firsts in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
+                if k != cell:
                     yield from done()
-                    bucket, classes, sets = k, [], []
-                classes.append(c)
-                sets.append(_unpacked(h, n))
+                    cell, members = k, []
+                members.append((block, label, hashes, counts, firsts))
         yield from done()
 
     return run
@@ -220,52 +252,71 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def classes(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and text_id (the least id with the same words) of each row."""
-    last = 2**63 - 1  # stands for a null id, so that it comes last
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(text_col).alias("text"))
-    sketches = saved(docs.mapInArrow(_sketch(settings), _SKETCH))
-    rows = sketches.select("id", "key")
-    texts = checkpoint(rows.groupBy("key").agg(F.min("id").alias("text_id")))
-    chosen = sketches.join(texts, (F.col("id") == F.col("text_id")) & (sketches["key"] == texts["key"]), "left_semi")
-    members = chosen.select("id", F.explode("bands").alias("bucket"))
-    sets, links, least = None, None, settings.similarity - _EPS
-
-    for _ in range(settings.rounds):
-        leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        led = checkpoint(members.join(leaders, "bucket").where("id <> leader"))
+def _leaders(members: DataFrame) -> DataFrame:
+    return checkpoint(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+
+
+def _round(members: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links of members to their bucket's leader, and the members that stay."""
+    least = settings.similarity - _EPS
+    pairs = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    left = pairs.join(sets, F.col("a") == F.col("s_node")).select("a", "b", F.col("hashes").alias("ah"), F.col("counts").alias("ac"))
+    both = left.join(sets, F.col("b") == F.col("s_node")).select("a", "b", "ah", "ac", "hashes", "counts")
+    verdicts = checkpoint(both.mapInArrow(_verify, "a long, b long, similarity double"))
+    judged = checkpoint(members.join(verdicts, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("node", "bucket", "similarity"))
+    # Buckets without an unlike member are done. A like member stays if an unlike one can be near it.
+    nearest = checkpoint(judged.where(F.col("similarity") < least).groupBy(F.col("bucket").alias("b_bucket")).agg(F.max("similarity").alias("nearest")))
+    stays = (F.col("similarity") < least) | (F.col("similarity") <= F.col("nearest") + (1 - settings.similarity) + _EPS)
+    left = checkpoint(judged.join(nearest, F.col("bucket") == F.col("b_bucket")).where(stays).select("node", "bucket"))
+    return verdicts.where(F.col("similarity") >= least).select("a", "b"), left
+
+
+def _cells(members: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Links between classes among what is left of the buckets: blocks of members, every two in a cell."""
+    classed = checkpoint(members.join(labels, F.col("node") == F.col("l_node"), "left").select("node", "bucket", F.coalesce("label", "node").alias("class")))
+    sized = classed.join(sets.select("s_node", "size"), F.col("node") == F.col("s_node"))
+    blocks = F.ceil(F.greatest(F.count("*") / settings.block, F.sum("size") / settings.block_shingles)).cast("int")
+    split = sized.groupBy(F.col("bucket").alias("b_bucket")).agg(F.min("class").alias("low"), F.max("class").alias("high"), blocks.alias("blocks"))
+    split = checkpoint(split.where("low < high").select("b_bucket", "blocks"))
+    rest = classed.join(split, F.col("bucket") == F.col("b_bucket")).join(sets, F.col("node") == F.col("s_node"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rest.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "hashes", "counts", "firsts")
+    dealt = cells.repartition(shuffle_partitions(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return checkpoint(dealt.mapInArrow(_compare(settings), "a long, b long"))
+
+
+def classes(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id, text_id (the least id with the same words), leads and the columns ``keep`` of each row.
+
+    ``leads`` is true for one row of each class. The result is a table in the checkpoint folder: it reads nothing else.
+    """
+    last = F.lit(2**63 - 1)  # a null id comes last
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    kept = [f"kept_{c}" for c in keep]
+    schema = ", ".join([_SKETCH, *[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:]]])
+    with Scratch(df.sparkSession) as scratch:
+        sketches = scratch.saved(docs.mapInArrow(_sketch(settings, kept), schema), "sketches")
+        texts = checkpoint(sketches.groupBy("key").agg(F.min("id").alias("text_id"), F.min_by("row", F.coalesce("id", last)).alias("node")))
+        chosen = sketches.join(texts.select("node"), F.col("row") == F.col("node"), "left_semi")
+        members = chosen.select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
+        sets, links = None, df.sparkSession.createDataFrame([], "a long, b long")
+        for _ in range(settings.rounds):
+            led = checkpoint(members.join(_leaders(members), "bucket").where("node <> leader"))
+            if sets is None:  # the sets of the texts that share a bucket: what later joins move
+                needed = led.select("node").union(led.select("leader")).distinct()
+                sets = scratch.saved(sketches.join(needed, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("s_node"), *_SET), "sets")
+            new, members = _round(led, sets, settings)
+            links = links.union(new)
         if sets is None:
-            sets = _sets_of(sketches, led)
-        pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        left = pairs.join(sets, F.col("a") == F.col("s_id")).select("a", "b", F.col("hashes").alias("ah"), F.col("counts").alias("ac"))
-        both = left.join(sets, F.col("b") == F.col("s_id")).select("a", "b", "ah", "ac", "hashes", "counts")
-        verdicts = checkpoint(both.mapInArrow(_verify, "a long, b long, similarity double"))
-        new = verdicts.where(F.col("similarity") >= least).select("a", "b")
-        links = new if links is None else links.union(new)
-        judged = led.join(verdicts, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b"))).select("id", "bucket", "similarity")
-        # Buckets without an unlike member are done. A like member stays if an unlike one can be near it.
-        nearest = judged.where(F.col("similarity") < least).groupBy(F.col("bucket").alias("b_bucket")).agg(F.max("similarity").alias("nearest"))
-        stays = (F.col("similarity") < least) | (F.col("similarity") <= F.col("nearest") + (1 - settings.similarity) + _EPS)
-        members = checkpoint(judged.join(nearest, F.col("bucket") == F.col("b_bucket")).where(stays).select("id", "bucket"))
-
-    if links is None:
-        sets = sketches.select(F.col("id").alias("s_id"), "hashes", "counts")
-        links = df.sparkSession.createDataFrame([], "a long, b long")
-    first = components(links)
-    classed = members.join(first, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("label", "id").alias("class"))
-    split = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    rest = classed.join(split, "bucket").join(sets, F.col("id") == F.col("s_id")).select("bucket", "class", "hashes", "counts", "id")
-    rest = rest.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "id").drop("id")
-    second = components(checkpoint(rest.mapInArrow(_finish(settings), "a long, b long")))
-    second = second.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-    labels = first.join(second, F.col("label") == F.col("n2"), "left").select("node", F.coalesce("l2", "label").alias("label"))
-    alone = second.join(first, F.col("n2") == F.col("node"), "left_anti").select(F.col("n2").alias("node"), F.col("l2").alias("label"))
-    named = texts.join(labels.union(alone), F.col("text_id") == F.col("node"), "left").select("key", "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    null = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
-    return rows.withColumnRenamed("id", "doc_id").join(named, "key").select(null("doc_id"), null("class_id"), null("text_id"))
-
-
-def _sets_of(sketches: DataFrame, led: DataFrame) -> DataFrame:
-    """The shingle sets of the documents that share a bucket: what later joins move."""
-    needed = led.select("id").union(led.select("leader")).distinct()
-    return saved(sketches.select("id", "hashes", "counts").join(needed, "id", "left_semi").withColumnRenamed("id", "s_id"))
+            sets = chosen.select(F.col("row").alias("s_node"), *_SET)
+        first = components(links).withColumnRenamed("node", "l_node")
+        second = components(_cells(members, sets, first, settings)).select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+        labels = first.join(second, F.col("label") == F.col("n2"), "left").select("l_node", F.coalesce("l2", "label").alias("label"))
+        alone = second.join(first, F.col("n2") == F.col("l_node"), "left_anti").select(F.col("n2").alias("l_node"), F.col("l2").alias("label"))
+        labels = checkpoint(texts.join(labels.union(alone), F.col("node") == F.col("l_node")).select("node", "text_id", "label"))
+        least = checkpoint(labels.groupBy("label").agg(F.min("text_id").alias("least"), F.min_by("node", F.coalesce("text_id", last)).alias("lead")))
+        named = labels.join(least, "label").select(F.col("node").alias("l_node"), "least", "lead")
+        named = texts.join(named, F.col("node") == F.col("l_node"), "left")
+        named = checkpoint(named.select("key", "text_id", F.when(F.col("lead").isNull(), F.col("text_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("lead", "node").alias("lead")))
+        out = sketches.select("row", "id", "key", *kept).join(named, "key")
+        return checkpoint(out.select(F.col("id").alias("doc_id"), "class_id", "text_id", (F.col("row") == F.col("lead")).alias("leads"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]))

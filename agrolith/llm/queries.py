@@ -59,7 +59,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.classes(table(spark, sf_dir, "documents"))
+    return probminhash.classes(table(spark, sf_dir, "documents")).drop("leads")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,9 +346,9 @@ def test_rounds_and_rest_find_the_same(docs_of):
             t[at] = rng.choice(words)
         rows.append((i, " ".join(t)))
     texts = dict(rows)
-    for rounds in (0, 1, 2):
-        got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs_of(rows), probminhash.Settings(rounds=rounds)).collect()}
-        assert got == _brute_classes(texts), rounds
+    for rounds, block in ((0, 256), (0, 7), (1, 256), (2, 7)):
+        got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs_of(rows), probminhash.Settings(rounds=rounds, block=block)).collect()}
+        assert got == _brute_classes(texts), (rounds, block)
 
 
 def test_repeated_text_is_near_its_original(docs_of):
@@ -359,12 +359,48 @@ def test_repeated_text_is_near_its_original(docs_of):
         assert got == _brute_classes(dict(rows)) == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11, 13: 11}
 
 
+def test_texts_not_ids_are_linked(docs_of):
+    a, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "acd")
+    near = lambda t: t + " and one more"
+    rows = [(5, a), (None, near(a)), (None, c), (None, c), (None, near(c)), (1, d), (2, near(d)), (2, c + " x"), (3, "alone"), (3, "apart")]
+    out = [(r["doc_id"], r["class_id"], r["leads"], r["t"]) for r in probminhash.classes(docs_of(rows).withColumn("t", F.col("text")), keep=("t",)).collect()]
+    of = {}
+    for doc, class_id, _, t in out:
+        of.setdefault((doc, t), set()).add(class_id)
+    assert of == {(5, a): {5}, (None, near(a)): {5}, (None, c): {2}, (None, near(c)): {2}, (1, d): {1}, (2, near(d)): {1}, (2, c + " x"): {2}, (3, "alone"): {3}, (3, "apart"): {3}}
+    assert sorted(t for _, _, leads, t in out if leads) == sorted([a, d, c + " x", "alone", "apart"])
+
+
+def test_classes_without_ids(docs_of):
+    rows = [(None, "one two three"), (None, "one two three"), (None, "four five six")]
+    out = probminhash.classes(docs_of(rows), keep=("text",)).collect()
+    assert {r["class_id"] for r in out} == {None} and sorted(r["text"] for r in out if r["leads"]) == ["four five six", "one two three"]
+
+
+def test_counts_are_not_capped(docs_of):
+    many = "a " * 70_004 + "b " * 70_004
+    h, c = probminhash.shingles(probminhash.word_list(many), 5)
+    assert c.max() == 70_000
+    assert probminhash._unpacked(h.astype("<u4").tobytes(), c.astype("<u4").tobytes())[1].tolist() == c.tolist()
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs_of([(1, many), (2, many + "c"), (3, "a " * 70_004)])).collect()}
+    assert got == _brute_classes({1: many, 2: many + "c", 3: "a " * 70_004})
+
+
+def test_recall_on_documents(spark, sf, real):
+    texts = {r["doc_id"]: r["text"] for r in real.collect()}
+    want = _brute_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in queries.op6_near_duplicates(spark, sf).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 5 and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+    assert all(want[got[i]] == want[i] for i in want)
+
+
 def test_classes_of_odd_rows(odd, no_docs):
     rows = probminhash.classes(odd.withColumn("bucket", F.lit(1))).collect()
     assert len(rows) == odd.count()
     by = Counter((r["doc_id"], r["class_id"]) for r in rows)
     assert by[(5, 5)] == 3 and {c for (d, c) in by if d in (2, 7, 8, 9)} == {2}
-    assert (None, None) in by
+    assert by[(None, None)] == 1 and Counter(r["leads"] for r in rows)[True] == 8  # 5 and "x" with id 5, the null id, blank, 10, 11, 3, 1
     assert probminhash.classes(no_docs).count() == 0
 
 
