@@ -31,7 +31,9 @@ def test_language_of_odd_rows(odd, no_docs, real):
         assert r["rejected"] or letters
     assert lang_id.predict(no_docs, model).count() == 0
     nothing = lang_id.fit(no_docs)
-    assert {r["lang_pred"] for r in lang_id.predict(odd, nothing).collect()} == {"und"}
+    rows = lang_id.predict(odd, nothing).collect()
+    assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0)}
+    assert all(r["rejected"] == (r["text"] is None or not any(map(str.isalpha, r["text"]))) for r in rows)
 
 
 def test_training_is_bounded_and_repeatable(real):
@@ -40,6 +42,67 @@ def test_training_is_bounded_and_repeatable(real):
     assert np.array_equal(a.embeddings, b.embeddings) and a.langs == ["de", "en", "es", "fr"]
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """About as many rows of a language as the operator samples, and others in their order."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").collect() if r["text"] and r["lang"]]
+    by = {lang: [r for r in rows if r["lang"] == lang][:900] for lang in ("de", "en", "es", "fr")}
+    return sorted((r for own in by.values() for r in own), key=lambda r: r["doc_id"])
+
+
+def _rejects(model, texts):
+    z = np.array([lang_id._mean(t, model.embeddings) for t in texts]) @ model.weights + model.bias
+    return np.array([s < model.threshold(len(t)) for s, t in zip(model.scores(z).max(axis=1), texts, strict=True)])
+
+
+def test_rejection_tells_languages_from_the_rest(labelled):
+    rng = np.random.default_rng(1)
+    seen, unseen = [r for i, r in enumerate(labelled) if i % 3], [r["text"] for i, r in enumerate(labelled) if not i % 3]
+    model = lang_id.train([r["text"] for r in seen], [r["lang"] for r in seen])
+    assert _rejects(model, unseen).mean() < 0.01
+    foreign = ["Это предложение написано на русском языке", "これは日本語の文章です。受け入れられるべきではありません", "qzxv wkjh pqzt bvxk lqwz mmjq zxkv qpwh jjkx"]
+    assert _rejects(model, foreign).all()
+    for n in (16, 64, 256):
+        cuts = [lang_id._cut(t, n, rng) for t in unseen]
+        assert _rejects(model, cuts).mean() < 0.03, n
+        assert _rejects(model, [lang_id.made_up(t, rng) for t in cuts]).mean() > (0.8 if n == 16 else 0.95), n
+
+
+@pytest.mark.parametrize("out", ["de", "es"])
+def test_a_language_that_was_not_learned_is_rejected(labelled, out):
+    rows = [r for r in labelled if r["lang"] != out]
+    model = lang_id.train([r["text"] for r in rows], [r["lang"] for r in rows])
+    assert _rejects(model, [r["text"] for r in labelled if r["lang"] == out]).mean() > 0.8
+    assert _rejects(model, [r["text"] for r in rows]).mean() < 0.02
+
+
+def test_scores_equal_plain_python(labelled):
+    import math
+
+    rows = labelled[:60]
+    model = lang_id.train([r["text"] for r in rows], [r["lang"] for r in rows], lang_id.Settings(epochs=1))
+    for text in ("Der Ü x.", *(r["text"][:200] for r in rows[:5])):
+        data = b" " + b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+        total, n = [0.0] * 16, 0
+        for size in (2, 3, 4):
+            for i in range(len(data) - size + 1):
+                h = size
+                for b, f in zip(data[i : i + size], (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)):
+                    h = ((h ^ b) * f) % 2**32
+                row = model.embeddings[(h ^ h >> 15) % len(model.embeddings)]
+                total, n = [t + float(x) for t, x in zip(total, row)], n + 1
+        z = [sum(t / n * float(w) for t, w in zip(total, model.weights[:, k])) + float(model.bias[k]) for k in range(len(model.langs) + 1)]
+        e = [math.exp((v - max(z)) / model.temperature) for v in z]
+        got = model.scores((lang_id._mean(text, model.embeddings) @ model.weights + model.bias)[None])[0]
+        assert got == pytest.approx([v / sum(e) for v in e[:-1]], rel=1e-3)
+
+
+def test_long_texts_enter_the_sample_in_part(docs_of, spark):
+    df = docs_of([(i, "word another " * 30_000) for i in range(4)]).withColumn("lang", F.lit("en"))
+    model = lang_id.fit(df, lang_id.Settings(epochs=1, max_chars=100))
+    assert model.langs == ["en"] and lang_id.predict(df, model).where("lang_pred = 'en'").count() == 4
+
+
 # ---- audio -----------------------------------------------------------------------------------------------------------
 
 

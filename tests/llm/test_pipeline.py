@@ -35,6 +35,13 @@ def test_one_document_of_each_class_stays(stages):
     assert sorted(r["doc_id"] for r in stages["near_duplicates"].collect()) == sorted(set(rows.values()))
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark, docs_of, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a), (None, a + " near"), (None, b), (None, b), (7, c), (7, c), (7, c), (7, a + " far"), (8, None), (8, ""), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs_of(rows), sf).collect()]
+    assert len(got) == 4 and {(5, a), (None, b), (7, c)} < set(got) and {x for x in got if not x[1]} <= {(8, None), (8, "")}
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.find(stages["personal_data"]).where("size(spans) > 0").count() == 0
     assert stages["personal_data"].where("n_chars <> length(text)").count() == 0
@@ -56,8 +63,9 @@ def test_run(spark, sf, stages):
 
 
 def test_odd_rows_pass(spark, odd, no_docs, sf):
-    for rows in (odd, no_docs):
-        docs = rows
-        for _, stage in pipeline.STAGES:
+    for rows, least in ((odd, 1), (no_docs, 0)):
+        docs, columns = rows, list(pipeline.COLUMNS)
+        for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, sf)
-            docs.count()
+            assert name == "pack" or docs.columns == columns
+            assert docs.count() >= least
