@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import lang_id, mixing, packing, pii, probminhash
-from agrolith.llm.common import shared_dir
+from agrolith.llm.common import fresh, shared_dir
 from agrolith.session import let_workers_import
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,11 +26,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays; of rows equal in id and words, one."""
+    """Of each class of near-duplicates one row stays: one with the least id (a null is the greatest), whatever rows equal it.
+
+    A row is known by a digest of id and text. Rows equal in both are alike for this; of their other columns one row's are
+    kept. They are reduced to one on the map side, before texts move.
+    """
     let_workers_import(spark)
-    found = probminhash.classes(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    key, row = fresh(docs, "_row_key", "_row")
+    keyed = docs.withColumn(key, F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
+    kept = probminhash.classes(keyed, keep=(key,)).where("leads").select(key)
+    one = keyed.groupBy(key).agg(F.first(F.struct(*COLUMNS)).alias(row))
+    return one.join(kept, key, "left_semi").select(f"{row}.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
