@@ -17,6 +17,7 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 #: The last character whose handling is remembered by piece.
 _LAST = 0x24F
 
+
 def _spaced(text: str) -> bool:
     """Whether white space stands beside a space or at an end: a piece could then hold more than one space."""
     return "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[0].isspace() or text[-1].isspace()
@@ -69,18 +70,21 @@ class _Words(dict):
 class Encoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Strings of special tokens inside a text count as ordinary text. Merges never cross a piece, and pieces
+    Strings of special tokens inside a text get their ids, as the tokenizer gives them; with ``special_as_text`` they count
+    as ordinary text (the tokenizer's ``encode_special_tokens``). Merges never cross a piece, and pieces
     never cross a single space between words, so the ids of a text are those of its words. Texts with
-    characters on which libraries could differ go to the tokenizer whole. About ``max_words`` words and as
-    many pieces are remembered.
+    characters on which libraries could differ, or with the string of an added token, go to the tokenizer whole. About
+    ``max_words`` words and as many pieces are remembered.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 500_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.max_words = max_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.added, self.normalized = [t["content"] for t in added], [t["content"].lower() for t in added if t["normalized"]]
         self.split, self.lower = self._splitter(spec)
         self.pieces = _Pieces(self.tokenizer.model.tokenize)
         self.words = _Words(self.pieces, self.split, "" if self.lower else " ")
@@ -100,7 +104,7 @@ class Encoder:
         return None, False
 
     def _one(self, text: str) -> bytes:
-        if self.split is None or _UNSURE.search(text):
+        if self.split is None or _UNSURE.search(text) or any(t in text for t in self.added) or self.normalized and any(t in text.lower() for t in self.normalized):
             return pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
         if self.lower:
             return b"".join(map(self.words.__getitem__, text.lower().split()))

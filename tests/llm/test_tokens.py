@@ -13,15 +13,27 @@ from tokenizers import Tokenizer
 from agrolith.llm import chat, packing, queries, token_files
 from agrolith.llm.encode import Encoder
 
-ODD = ["", " ", "a  b", "\n\nx ", "it's 'say ''s x", "İstanbul ΣΑΣ", "a\x1cb", "x́ é", "<|endoftext|> b", "1 22 333", "　wide", "naïve x", "ß ſ K", "tab\tx \n y"]
+ODD = ["", " ", "a  b", "\n\nx ", "it's 'say ''s x", "İstanbul ΣΑΣ", "a\x1cb", "x́ é", "<|endoftext|> b", "a <|endoftext|> b", "a<|endoftext|><|startoftext|>b <|ENDOFTEXT|>", "1 22 333", "　wide", "naïve x", "ß ſ K", "tab\tx \n y"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_tokenizer(path, name, real):
     e = Encoder(path(name), max_words=50)
     texts = [r["text"] or "" for r in real.collect()] + ODD
-    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    untouched = Tokenizer.from_file(path(name))
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in untouched.encode_batch(texts, add_special_tokens=False)]
     assert e.encode([None]) == [b""]
+    untouched.encode_special_tokens = True
+    assert Encoder(path(name), special_as_text=True).encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in untouched.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_end_of_text_inside_a_text(docs_of, path):
+    """The ids that the tokenizer gives: the token's own in the midst of a text."""
+    assert np.frombuffer(Encoder(path("word_bpe_49k.json")).encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+    text = "a <|endoftext|> b"
+    pieces = packing.pack_documents(docs_of([(1, text)]), path("byte_bpe_50k.json"), 1).collect()
+    want = _ids(path, "byte_bpe_50k.json", [text])[0]
+    assert b"".join(p["ids"] for p in sorted(pieces, key=lambda p: p["start"])) == want.tobytes() and 50256 in want
 
 
 @pytest.fixture(scope="module", params=["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -38,7 +50,6 @@ def test_encoder_on_any_text(an_encoder, text):
 
 def _ids(path, name, texts, end=1):
     t = Tokenizer.from_file(path(name))
-    t.encode_special_tokens = True
     return [np.array([*x.ids, end], "<u4") for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
