@@ -37,8 +37,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
-    base = F.filter("spans", lambda s: s["kind"] != "iban")
-    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    base = F.filter("spans", lambda s: s["kind_no"] < pii.BASE_KINDS)
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE_KINDS]]
     least = F.array_min(F.transform("spans", lambda s: s["score"]))
     return found.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"), least.alias("least_score"))
 
