@@ -40,10 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind in angle brackets; n_chars follows the text."""
+    """Spans of personal data give way to their kind in angle brackets; where that changes a text, n_chars follows it."""
     let_workers_import(spark)
-    clean = pii.find(docs).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    (new,) = fresh(docs, "_clean")
+    clean = pii.redact(pii.find(docs), new)
+    n_chars = F.when(F.col(new) != F.col("text"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).withColumn("text", F.col(new)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
