@@ -560,6 +560,20 @@ def test_mixed_rows_equal_the_plan(odd, real, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_repeated_rows_are_taken_up_to_the_target(docs_of):
+    rows = [(7, "one two three four five six", "a")] * 1000 + [(i, "w " * 50, "b") for i in range(100, 200)] + [(None, None, "c")] * 5 + [(None, "x y", None)] * 9
+    docs = docs_of(rows).repartition(6)
+    settings = mixing.Settings(weights=(3.0, 2.0), budget=0.75)
+    out = mixing.mix(docs, settings).toPandas()
+    assert len(out) == len(rows)
+    by = out.fillna({"source": "-"}).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert (abs(by["taken"] - by["target"]) <= by["most"] / 2 + 1e-6).all() and 0 < by.loc["a", "taken"] < 6000
+    assert set(out.loc[out["source"] == "a", "copies"]) == {0, 1}
+    got = mixing.mixed(docs, settings).groupBy("source").count().collect()
+    plan = out.fillna({"source": "-"}).groupby("source")["copies"].sum().to_dict()
+    assert {r["source"] or "-": r["count"] for r in got} == {k: v for k, v in plan.items() if v}
+
+
 # ---- sharding --------------------------------------------------------------------------------------------------------
 
 
