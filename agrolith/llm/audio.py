@@ -2,17 +2,22 @@
 
 A recording (16-bit PCM WAV bytes) becomes frames of twelve pitch-class energies. Sixteen filters, differences of
 rectangle sums over a window of frames, are taken at every frame through an integral image; each is quantised to two
-Gray-coded bits, which gives one 32-bit integer a frame.
+Gray-coded bits, the sign and whether it is near zero, which gives one 32-bit integer a frame.
 
-Recordings with equal fingerprints form a class, and search works on classes. Queries meet the others where keys made of
-halves of two integers are equal; a histogram of the differences of their positions shows the offset at which two
-recordings align, and the share of differing bits over the overlap confirms it, where it is at most ``max_error``. A key asks for equal bits, so the more bits
-differ, the fewer alignments are looked up: of 141 noisy copies that brute force aligns, 12 of 13 with up to 10 % of bits
-differing are found, 29 of 48 with 10 to 15 %, 5 of 44 with 15 to 20 % and 0 of 36 with 20 to 25 %.
+Recordings with equal fingerprints form a class, and search works on classes, by numbers of their own: ids may be null or
+repeated. Queries meet the others where keys are equal; a histogram of the differences of their positions shows the offsets
+at which two recordings may align, and the share of differing bits over the overlap confirms one, where it is at most
+``max_error``. A key is made of the signs in two integers a window apart, which share no frame. Signs differ less often than
+the other bits, and a query also looks up what comes of flipping the ``flips`` least certain signs of either integer. So most
+of what differs by up to ``max_error`` is found: tests measure the share against brute force. Recordings of up to two windows
+are looked up, and look up, by their integers as they are, where one equal integer makes a candidate.
+
+Of equal keys in a row only the first and the last are kept, so a hum has few.
 
 Defined results: null, empty, silent or too short recordings have a fingerprint without integers and match nothing, and
-are one class; bytes that are no 16-bit WAV count as such; stereo is mixed down; repeated rows keep a row each; of equal
-offsets' counts the least absolute and then the least offset wins; an empty table gives no rows.
+are one class; bytes that are no 16-bit WAV count as such; stereo is mixed down; repeated rows keep a row each; rows with equal
+ids and other sounds are classes of their own, and may match one another; a class is named by its least id, null where all its ids are; of offsets
+that pass, the one with the least error wins, then the least absolute, then the least; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ class Settings:
     max_error: float = 0.25
     #: Equal keys at the same offset that make a candidate.
     min_hits: int = 2
+    #: Least certain signs of an integer that a query flips.
+    flips: int = 3
     min_overlap: float = 0.5
 
 
@@ -94,11 +101,11 @@ def filters(window: int) -> list[tuple[int, int, int, int]]:
     return [(i % 4, 3 * i % (12 - h + 1), h, w) for i in range(16) for h, w in [(2 + 2 * (i // 4), max(2, window >> (i // 4) % 3))]]
 
 
-def items(energy: np.ndarray, s: Settings) -> np.ndarray:
-    """One packed 32-bit integer for each window of frames; none for silence throughout."""
+def values(energy: np.ndarray, s: Settings) -> np.ndarray:
+    """A row for each window of frames and a column for each filter; no rows for silence throughout."""
     n = len(energy) - s.window + 1
     if n <= 0 or not energy.any():
-        return np.zeros(0, np.uint32)
+        return np.zeros((0, 16))
     image = np.zeros((len(energy) + 1, 13))
     image[1:, 1:] = energy.cumsum(0).cumsum(1)
     at = np.arange(n)
@@ -106,60 +113,117 @@ def items(energy: np.ndarray, s: Settings) -> np.ndarray:
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
         return image[at + t1, c1] - image[at + t0, c1] - image[at + t1, c0] + image[at + t0, c0]
 
-    out = np.zeros(n, np.uint32)
+    out = []
     for kind, c, h, w in filters(s.window):
         ch, tw, total = c + h // 2, w // 2, area(0, w, c, c + h)
         if kind == 0:
-            value = total / (area(0, w, 0, 12) + 1e-9) - h / 12
+            out.append(total / (area(0, w, 0, 12) + 1e-9) - h / 12)
         elif kind == 1:
-            value = (area(0, w, ch, c + h) - area(0, w, c, ch)) / (total + 1e-9)
+            out.append((area(0, w, ch, c + h) - area(0, w, c, ch)) / (total + 1e-9))
         elif kind == 2:
-            value = (area(tw, w, c, c + h) - area(0, tw, c, c + h)) / (total + 1e-9)
+            out.append((area(tw, w, c, c + h) - area(0, tw, c, c + h)) / (total + 1e-9))
         else:
-            value = (area(0, tw, c, ch) + area(tw, w, ch, c + h) - area(0, tw, ch, c + h) - area(tw, w, c, ch)) / (total + 1e-9)
-        level = np.digitize(value, (-0.15, 0.0, 0.15)).astype(np.uint32)
-        out = out << np.uint32(2) | (level ^ level >> np.uint32(1))
-    return out
+            out.append((area(0, tw, c, ch) + area(tw, w, ch, c + h) - area(0, tw, ch, c + h) - area(tw, w, c, ch)) / (total + 1e-9))
+    return np.stack(out, axis=1)
 
 
-def fingerprints(df: DataFrame, id_col: str, audio_col: str, settings: Settings = Settings()) -> DataFrame:
-    """id_col and items (little-endian unsigned 32-bit integers)."""
+def packed(v: np.ndarray) -> np.ndarray:
+    """One 32-bit integer for each row of filters' values: two Gray-coded bits each, the first filter's highest."""
+    out = np.zeros(len(v), np.uint32)
+    for column in v.T:
+        level = np.digitize(column, (-0.15, 0.0, 0.15)).astype(np.uint32)
+        out = out << np.uint32(2) | (level ^ level >> np.uint32(1))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, 8 << 20):
-            own = [items(chroma(*samples_of(x), settings), settings).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], [id_col, "items"])
 
-    return df.select(F.col(id_col).cast("long"), audio_col).mapInArrow(run, f"{id_col} long, items binary")
+def items(energy: np.ndarray, s: Settings) -> np.ndarray:
+    return packed(values(energy, s))
 
 
-_POSTING = "id long, is_query boolean, item long, at int"
+def signs(x: np.ndarray) -> np.ndarray:
+    """The sixteen sign bits of integers."""
+    return sum((x >> np.uint32(2 * i + 1) & np.uint32(1)) << np.uint32(i) for i in range(16)).astype(np.uint32)
 
 
-def keys_of(x: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions): the halves of integers a window apart, low with high and high with low.
+def uncertain(v: np.ndarray, n: int) -> np.ndarray:
+    """For each row of filters' values the n filters nearest to zero, as positions of their sign bits, four bits each."""
+    nearest = np.argsort(np.abs(v), axis=1, kind="stable")[:, :n]
+    return sum(((15 - nearest[:, i]).astype(np.uint16) << np.uint16(4 * i) for i in range(n)), np.zeros(len(v), np.uint16)).astype(np.uint16)
 
-    A key asks for as many equal bits as one integer, but of two windows that share no frame: far fewer are equal by chance.
-    """
-    if len(x) <= gap:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    a, b = x[:-gap].astype(np.int64), x[gap:].astype(np.int64)
-    first, second = (a & 0xFFFF) << 16 | b >> 16, 1 << 32 | (a >> 16) << 16 | b & 0xFFFF
-    at = np.arange(len(a), dtype=np.int32)
-    return np.concatenate([first, second]), np.concatenate([at, at])
 
+def fingerprints(df: DataFrame, id_col: str, audio_col: str, settings: Settings = Settings()) -> DataFrame:
+    """id_col, items (little-endian unsigned 32-bit integers) and weak (16 bits for each: its least certain signs)."""
 
-def _postings(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, 1 << 20):
-            ids, asked, keys, places = [], [], [], []
-            for i, q, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                key, at = keys_of(np.frombuffer(data, "<u4"), gap)
-                ids.append(np.full(len(key), i, np.int64))
-                asked.append(np.full(len(key), q))
+        for batch in bounded_batches(batches, 8 << 20):
+            own = [values(chroma(*samples_of(x), settings), settings) for x in batch.column(1).to_pylist()]
+            columns = [[packed(v).astype("<u4").tobytes() for v in own], [uncertain(v, settings.flips).astype("<u2").tobytes() for v in own]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.binary()) for c in columns]], [id_col, "items", "weak"])
+
+    return df.select(F.col(id_col).cast("long"), audio_col).mapInArrow(run, f"{id_col} long, items binary, weak binary")
+
+
+_POSTING = "node long, item long, at int"
+#: Key spaces: signs of two integers; single integers of all recordings; those of short ones.
+_PAIRS, _ALL, _SHORT = 0, 1 << 33, 2 << 33
+
+
+def _ends(keys: np.ndarray) -> np.ndarray:
+    """Positions of the first and the last of equal keys in a row."""
+    change = np.flatnonzero(np.diff(keys)) + 1
+    return np.unique(np.concatenate([[0], change, change - 1, [len(keys) - 1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _variants(x: np.ndarray, weak: np.ndarray, flips: int) -> np.ndarray:
+    """Signs of integers, a column for each choice of flips."""
+    out = signs(x)[:, None]
+    for i in range(flips):
+        out = np.concatenate([out, out ^ (np.uint32(1) << (weak >> np.uint16(4 * i) & np.uint16(15)).astype(np.uint32))[:, None]], axis=1)
+    return out.astype(np.int64)
+
+
+def stored_keys(x: np.ndarray, gap: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) by which a recording is found."""
+    pair = signs(x[:-gap]).astype(np.int64) << 16 | signs(x[gap:]) if len(x) > gap else np.zeros(0, np.int64)
+    at = _ends(pair)
+    keys, places = [pair[at] | _PAIRS], [at]
+    if singles:
+        one = x.astype(np.int64)
+        own = _ends(one)
+        for space in (_ALL, _SHORT) if len(x) <= 2 * gap else (_ALL,):
+            keys.append(one[own] | space)
+            places.append(own)
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32)
+
+
+def asked_keys(x: np.ndarray, weak: np.ndarray, gap: int, flips: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) that a query looks up."""
+    keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(x) > gap:
+        pair = signs(x[:-gap]).astype(np.int64) << 16 | signs(x[gap:])
+        at = _ends(pair)
+        first, second = _variants(x[at], weak[at], flips), _variants(x[at + gap], weak[at + gap], flips)
+        keys.append((first[:, :, None] << 16 | second[:, None, :] | _PAIRS).ravel())
+        places.append(np.repeat(at, first.shape[1] ** 2))
+    if singles:
+        one = x.astype(np.int64)
+        own = _ends(one)
+        keys.append(one[own] | (_ALL if len(x) <= 2 * gap else _SHORT))
+        places.append(own)
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32)
+
+
+def _postings(keys_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches, 1 << 16):
+            nodes, keys, places = [], [], []
+            for node, data, weak in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.frombuffer(data, "<u4")
+                key, at = keys_of(x, np.frombuffer(weak, "<u2") if weak else np.zeros(len(x), np.uint16))
+                nodes.append(np.full(len(key), node, np.int64))
                 keys.append(key)
                 places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, asked, keys, places)], ["id", "is_query", "item", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, places)], ["node", "item", "at"])
 
     return run
 
@@ -167,17 +231,19 @@ def _postings(gap: int):
 def _aligned(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, 8 << 20):
-            q, c, off, qi, ci = (batch.column(i).to_pylist() for i in range(5))
             rows = []
-            for i in range(len(q)):
-                a, b = np.frombuffer(qi[i], "<u4"), np.frombuffer(ci[i], "<u4")
-                first, last = max(0, -off[i]), min(len(a), len(b) - off[i])
-                if last - first >= settings.min_overlap * min(len(a), len(b)):
-                    error = float(np.bitwise_count(a[first:last] ^ b[first + off[i] : last + off[i]]).mean() / 32)
-                    if error <= settings.max_error:
-                        rows.append((q[i], c[i], off[i], error))
+            for q, c, shifts, qi, ci in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                a, b, best = np.frombuffer(qi, "<u4"), np.frombuffer(ci, "<u4"), None
+                for off in shifts:
+                    first, last = max(0, -off), min(len(a), len(b) - off)
+                    if last - first >= settings.min_overlap * min(len(a), len(b)):
+                        error = float(np.bitwise_count(a[first:last] ^ b[first + off : last + off]).mean() / 32)
+                        if error <= settings.max_error:
+                            best = min(best or (2.0, 0, 0), (error, abs(off), off))
+                if best:
+                    rows.append((q, c, best[2], best[0]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["query", "match", "shift", "bit_error"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["query", "found", "shift", "bit_error"])
 
     return run
 
@@ -186,23 +252,28 @@ def search(prints: DataFrame, id_col: str, is_query: Column, settings: Settings
     """id_col, n_items, class_id and, for classes that hold a query, the other classes that align with it.
 
     ``matches`` is an array of (match, offset, bit_error) by match; it is empty where nothing aligns and null where the row
-    is no query. An offset counts frames from the query's position to the match's.
+    is no query. An offset counts frames from the query's position to the match's. Without a column ``weak`` nothing is flipped.
     """
-    rows = checkpoint(prints.select(F.col(id_col).alias("id"), "items", F.xxhash64("items").alias("key"), is_query.alias("is_query")))
-    own = checkpoint(rows.groupBy("key", F.length("items").alias("n")).agg(F.min("id").alias("class_id"), F.max("is_query").alias("is_query")))
-    held = own.select("class_id", F.col("is_query").alias("asked"))
-    kept = rows.select("id", "items").join(held, F.col("id") == F.col("class_id")).select("class_id", "asked", "items").dropDuplicates(["class_id"])
-    kept = checkpoint(kept)
-    post = kept.mapInArrow(_postings(settings.window), _POSTING)
-    asked = post.where("is_query").select(F.col("id").alias("q"), "item", F.col("at").alias("q_at"))
-    hits = asked.join(post.select("id", "item", "at"), "item").where("q <> id").groupBy("q", "id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_hits)
-    best = hits.groupBy("q", "id").agg(F.max(F.struct("n", (-F.abs("shift")).alias("near"), (-F.col("shift")).alias("low"))).alias("top")).select("q", "id", (-F.col("top.low")).cast("int").alias("shift"))
-    pairs = best.join(kept.select(F.col("class_id").alias("q"), F.col("items").alias("q_items")), "q").join(kept.select(F.col("class_id").alias("id"), "items"), "id").select("q", "id", "shift", "q_items", "items")
-    found = pairs.mapInArrow(_aligned(settings), "query long, match long, shift int, bit_error double")
+    gap, flips = settings.window, settings.flips if "weak" in prints.columns else 0
+    weak = F.col("weak") if flips else F.lit(None).cast("binary").alias("weak")
+    rows = checkpoint(prints.select(F.col(id_col).alias("id"), "items", weak, F.md5("items").alias("key"), is_query.alias("is_query")))
+    own = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.max("is_query").alias("asked"), F.first(F.struct("items", "weak")).alias("print"))
+    own = checkpoint(own.select("key", "class_id", "asked", "print.items", "print.weak", F.monotonically_increasing_id().alias("node")))
+    kept = own.select("node", "items", "weak")
+    singles = not own.where((F.length("items") > 0) & (F.length("items") <= 8 * gap)).isEmpty()
+    post = kept.mapInArrow(_postings(lambda x, _: stored_keys(x, gap, singles)), _POSTING)
+    asked = own.where("asked").select("node", "items", "weak").mapInArrow(_postings(lambda x, w: asked_keys(x, w, gap, flips, singles)), _POSTING)
+    asked = asked.select(F.col("node").alias("q"), "item", F.col("at").alias("q_at"))
+    enough = F.count("*") >= F.min(F.when(F.col("item") >= _ALL, 1).otherwise(settings.min_hits))
+    hits = asked.join(post, "item").where("q <> node").groupBy("q", "node", (F.col("at") - F.col("q_at")).alias("shift")).agg(enough.alias("enough")).where("enough")
+    near = hits.groupBy("q", "node").agg(F.collect_list("shift").alias("shifts"))  # at most as many as there are offsets of two recordings
+    pairs = near.join(kept.select(F.col("node").alias("q"), F.col("items").alias("q_items")), "q").join(kept.select("node", "items"), "node").select("q", "node", "shifts", "q_items", "items")
+    found = pairs.mapInArrow(_aligned(settings), "query long, found long, shift int, bit_error double")
+    found = found.join(own.select("node", F.col("class_id").alias("match")), F.col("found") == F.col("node"))
     lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("match", F.col("shift").alias("offset"), "bit_error"))).alias("found"))
-    named = own.join(lists, F.col("class_id") == F.col("query"), "left").select("key", F.col("n").alias("len"), "class_id", "found")
+    named = own.join(lists, F.col("node") == F.col("query"), "left").select("key", "class_id", "found")
     empty = F.array().cast("array<struct<match:bigint,offset:int,bit_error:double>>")
-    out = rows.join(named, (rows["key"] == named["key"]) & (F.length("items") == F.col("len")))
+    out = rows.join(named, "key")
     return out.select(F.col("id").alias(id_col), (F.length("items") / 4).cast("long").alias("n_items"), "class_id", F.when(F.col("is_query"), F.coalesce("found", empty)).alias("matches"))
 
 

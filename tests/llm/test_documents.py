@@ -131,12 +131,13 @@ def test_shifted_noisy_recordings_align(spark):
     assert out[200]["class_id"] == out[40]["class_id"]
 
 
-def test_keys_find_what_brute_force_aligns(spark):
+@pytest.mark.parametrize("noise", [(0.02, 0.2), (0.2, 0.4), (0.4, 0.6)])
+def test_keys_find_what_brute_force_aligns(spark, noise):
     rng, s, rows = np.random.default_rng(9), audio.Settings(), []
     for i in range(40):
         x = _recording(np.random.default_rng(i).normal(0, 0.15, 64))
         cut = int(rng.integers(0, 8000))
-        rows += [(20 * i, audio.wav(x, 4000)), (20 * i + 1, audio.wav(x[cut:] + rng.uniform(0.02, 0.2) * rng.normal(size=len(x) - cut), 4000))]
+        rows += [(20 * i, audio.wav(x, 4000)), (20 * i + 1, audio.wav(x[cut:] + rng.uniform(*noise) * rng.normal(size=len(x) - cut), 4000))]
     prints = audio.fingerprints(spark.createDataFrame(rows, "id long, audio binary"), "id", "audio")
     items = {r["id"]: np.frombuffer(r["items"], "<u4") for r in prints.collect()}
     want = set()
@@ -149,9 +150,27 @@ def test_keys_find_what_brute_force_aligns(spark):
                     want.add((q, c))
                     break
     got = {(r["id"], m["match"]) for r in audio.search(prints, "id", F.col("id") % 20 == 0).collect() for m in r["matches"] or []}
+    print(noise, len(got), "of", len(want))
     assert got <= want and len(want) > 20 and len(got) >= 0.9 * len(want)
 
 
+def test_short_recordings_and_odd_ids_are_found(spark):
+    x = _recording(_melody(3), note=500)
+    y = x[: 4000 * 2]  # about a dozen integers
+    other = _recording(_melody(8))
+    rows = [(20, x), (21, y), (40, y[256 * 4 :]), (None, other), (60, other[256 * 12 :]), (None, other[256 * 30 :]), (80, _recording(_melody(77))), (80, _recording(_melody(77))[256 * 20 :])]
+    prints = audio.fingerprints(spark.createDataFrame([(i, audio.wav(v, 4000)) for i, v in rows], "id long, audio binary"), "id", "audio")
+    out = audio.search(prints, "id", F.col("id") % 20 == 0).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r["id"], []).append(sorted((m["match"] is None, m["match"], m["offset"]) for m in r["matches"] or []))
+    assert [m[:2] for m in found[20][0]] == [(False, 21), (False, 40)]
+    assert {m[1] for m in found[40][0]} == {20, 21}
+    assert [m[0] for m in found[60][0]] == [True, True]
+    assert [[m[1:] for m in own] for own in sorted(found[80])] == [[(80, -20)], [(80, 20)]] or [[m[1:] for m in own] for own in sorted(found[80])] == [[(80, 20)], [(80, -20)]]
+    assert len(out) == len(rows)
+
+
 def test_a_quarter_of_bits_may_differ(spark):
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 32, 120, np.uint32)
