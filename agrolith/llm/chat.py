@@ -6,8 +6,8 @@ markers as single tokens and with the code-point offsets of every token. The sor
 intersected with the sorted token spans by binary search: tokens inside a trained text bear loss, all others do not.
 
 Rows are dealt by conversation and block of turns, so that one long conversation is spread over tasks, and a task
-renders at most ``segment_turns`` turns at once: a conversation's result is one or more segments, in order. Markers are
-hard boundaries of the encoding, so segments joined are the encoding of the whole.
+renders at most ``segment_turns`` turns at once, or as many as take ``segment_chars`` code points: a conversation's result is one
+or more segments, in order. Markers are hard boundaries of the encoding, so segments joined are the encoding of the whole.
 
 Defined results: rows of a conversation are ordered by turn (nulls first), then role and text; repeated rows are turns
 of their own; null role or text is an empty one; the rows with a null conversation id form one conversation; an empty
@@ -17,10 +17,12 @@ table gives no rows. Columns other than those named are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,13 @@ class Template:
     tokenizer_path: str
     trained_roles: tuple[str, ...] = ("assistant",)
     segment_turns: int = 256
+    #: A segment ends with the turn that takes its texts beyond so many code points.
+    segment_chars: int = 4 << 20
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tok = Tokenizer.from_file(path)
     tok.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, SEP, END)])
     return tok
@@ -104,30 +109,41 @@ def format_conversations(df: DataFrame, template: Template) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(template.tokenizer_path)
-        key, number, turns = None, 0, []
-
-        def segment() -> pa.RecordBatch:
-            text, spans = render(turns, template.trained_roles)
-            found = tok.encode(text, add_special_tokens=False)
-            at = np.array(found.offsets, "<u4").reshape(-1, 2)
-            mask = loss_mask(at[:, 0], at[:, 1], spans)
-            row = [*key, number, text, np.array(found.ids, "<u4").tobytes(), at[:, 0].tobytes(), at[:, 1].tobytes(), mask.astype(np.uint8).tobytes()]
+        key, number, turns, size = None, 0, [], 0
+        waiting, held = [], 0  # rendered segments, and their code points
+
+        def close() -> None:
+            nonlocal number, turns, size, held
+            waiting.append((*key, number, *render(turns, template.trained_roles)))
+            held += len(waiting[-1][3])
+            number, turns, size = number + 1, [], 0
+
+        def segments() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = []
+            for (conv, block, at, text, spans), found in zip(waiting, tok.encode_batch([w[3] for w in waiting], add_special_tokens=False), strict=True):
+                pairs = np.fromiter(chain.from_iterable(found.offsets), "<u4", 2 * len(found)).reshape(-1, 2)
+                mask = loss_mask(pairs[:, 0], pairs[:, 1], spans)
+                rows.append((conv, block, at, text, np.array(found.ids, "<u4").tobytes(), pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), mask.astype(np.uint8).tobytes()))
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], _SEGMENT.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], _SEGMENT.replace(",", "").split()[::2])
+            waiting.clear()
+            held = 0
 
-        size = 0
         for batch in bounded_batches(batches):
             for conv, block, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if turns and (key != (conv, block) or len(turns) == most or size > 4 << 20):
-                    yield segment()
-                    number = number + 1 if key == (conv, block) else 0
-                    turns, size = [], 0
+                if turns and (key != (conv, block) or len(turns) == most or size > template.segment_chars):
+                    close()
+                    if held > template.segment_chars // 8:
+                        yield from segments()
                 if key != (conv, block):
                     key, number = (conv, block), 0
                 turns.append((role, text))
                 size += len(text or "")
         if turns:
-            yield segment()
+            close()
+        if waiting:
+            yield from segments()
 
     block = F.coalesce(F.floor(F.col("turn") / most), F.lit(-(2**62))).cast("long")
     rows = df.select(F.col("conv_id").cast("long"), block.alias("block"), F.col("role").cast("string"), F.col("text").cast("string"), "turn")

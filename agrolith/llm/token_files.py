@@ -11,8 +11,8 @@ A dataset is a folder of shards. Shard ``k`` holds documents of one range of ids
 The folder must be reachable by file path from every executor (a shared mount), as memory maps need one.
 
 Defined results: a null or empty text has the end id alone; a null document id sorts first; repeated ids and
-rows keep a row each, ties in id ordered by text; an empty table gives a dataset without shards. Columns other
-than id and text are ignored.
+rows keep a row each, ties in id ordered by a hash of the text, so an id that many texts share is cut into ranges as well; an
+empty table gives a dataset without shards. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -85,9 +85,13 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_
             os.replace(f"{attempt}.{kind}", os.path.join(path, f"{shard:06d}.{kind}"))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs], "ids": [total]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shards or shuffle_partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    order = (F.col("id").asc_nulls_first(), F.col("tie"))
+    ordered = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("tie")
     found = sorted(tuple(r) for r in ordered.mapInArrow(write, "shard long, docs long, ids long").collect())
+    for name in os.listdir(path):
+        if name.startswith("_"):  # of a task that failed or came second
+            os.remove(os.path.join(path, name))
     base, out = 0, []
     for shard, docs, ids in found:
         if docs:

@@ -71,6 +71,8 @@ def test_token_files_of_odd_rows(spark, odd, no_docs, path):
     assert len(got) == odd.count() and got[0]["doc_id"] is None
     assert [r["n_tokens"] for r in got if r["doc_id"] in (7, 8, 9)] == [1, 1, 1]
     assert [r["doc_id"] for r in got][1:] == sorted(r["doc_id"] for r in got[1:])
+    same = token_files.write_tokens(odd.select(F.lit(4).alias("doc_id"), "text"), token_files.new_folder(spark), path("word_bpe_49k.json"), 1, shards=3)
+    assert len(same.shards) > 1 and token_files.read_tokens(spark, same).count() == odd.count()
     empty = token_files.write_tokens(no_docs, token_files.new_folder(spark), path("word_bpe_49k.json"), 1)
     assert token_files.read_tokens(spark, empty).count() == 0
     with pytest.raises(ValueError, match="mounted"):
@@ -178,6 +180,8 @@ def test_chat_round_trip(spark, path):
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.format_conversations(df.limit(0), template)).count() == 0
+    small = chat.format_conversations(df, chat.Template(path("byte_bpe_50k.json"), segment_chars=40))
+    assert small.count() > segments.count() and {r["conv_id"]: r for r in chat.digests(small).collect()} == got
 
 
 @given(st.text(st.sampled_from("<|!a>")))
