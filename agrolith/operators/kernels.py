@@ -7,9 +7,11 @@ import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agrolith.operators.ranks import exact_quantiles
+
 
 def _pairs(w: DataFrame) -> DataFrame:
     a, b = (w.select(F.col("env").alias(c), "covariable", F.col("value").alias(f"v{c}")) for c in "ij")
@@ -19,8 +21,8 @@ def _pairs(w: DataFrame) -> DataFrame:
 def linear_kernel(w: DataFrame) -> DataFrame:
     """W W' over the mean of its diagonal."""
     products = _pairs(w).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
-    mean = F.avg(F.when(F.col("i") == F.col("j"), F.col("value"))).over(Window.partitionBy())
-    return products.select("i", "j", (F.col("value") / mean).alias("value"))
+    mean = w.where("value IS NOT NULL").groupBy("env").agg(F.sum(F.col("value") * F.col("value")).alias("own")).agg(F.avg("own").alias("mean"))
+    return products.crossJoin(F.broadcast(mean)).select("i", "j", (F.col("value") / F.col("mean")).alias("value"))  # one row
 
 
 def gaussian_kernel(w: DataFrame, h: float = 1.0) -> DataFrame:
@@ -28,8 +30,9 @@ def gaussian_kernel(w: DataFrame, h: float = 1.0) -> DataFrame:
     that is 0 their 5 % quantile, and else 1.
     """
     squared = _pairs(w).groupBy("i", "j").agg(F.sum(F.pow(F.col("vi") - F.col("vj"), F.lit(2.0))).alias("d2"))
-    q = squared.agg(F.percentile("d2", 0.5).alias("m"), F.percentile("d2", 0.05).alias("l")).select(F.when(F.col("m") > 0, F.col("m")).when(F.col("l") > 0, F.col("l")).otherwise(1.0).alias("q"))
-    return squared.crossJoin(F.broadcast(q)).select("i", "j", F.exp(-h * F.col("d2") / F.col("q")).alias("value"))
+    low, middle = exact_quantiles(squared, ["d2"], (0.05, 0.5))["d2"] or (0.0, 0.0)
+    q = middle if middle > 0 else low if low > 0 else 1.0
+    return squared.select("i", "j", F.exp(-h * F.col("d2") / q).alias("value"))
 
 
 def _arc(product, a, b):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agrolith.functions import bins
 from agrolith.operators.covariables import Covariables, impute
+from agrolith.operators.ranks import exact_quantiles
 from agrolith.operators.summary import default_variables, interval, interval_bins, melt
 
 
@@ -17,9 +18,9 @@ def _label(x: float) -> str:
 
 
 def quantile_cardinals(df: DataFrame, variables: Sequence[str], probs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99)) -> dict[str, list[float]]:
-    """Class breaks from quantiles over all rows, rounded to three places, without repeats: one aggregate for all variables."""
-    row = df.agg(*[F.percentile(F.col(v).cast("double"), list(probs)).alias(v) for v in variables]).first()
-    return {v: sorted({round(q, 3) for q in row[v]}) for v in variables if row[v]}
+    """Class breaks from quantiles over all rows, rounded to three places, without repeats."""
+    found = exact_quantiles(df, variables, probs)
+    return {v: sorted({round(q, 3) for q in found[v]}) for v in variables if found[v]}
 
 
 def env_typing(df: DataFrame, env: str = "env", day: str = "daysFromStart", variables: Sequence[str] | None = None, cardinals: Mapping[str, Sequence[float]] | Sequence[float] | None = None, probs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), by_interval: bool = False, breaks: Sequence[float] | None = None, names: Sequence[str] | None = None, min_window: int = 2, ratio: bool = False) -> DataFrame:

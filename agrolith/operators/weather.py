@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agrolith.constants import META_COLUMNS, PROCESSED_COLUMNS
 from agrolith.functions import moisture, solar, thermal
+from agrolith.operators.ranks import exact_quantiles
 from agrolith.schema import require, strip_fill
 
 
@@ -21,15 +22,14 @@ def _result(df: DataFrame, new: dict[str, Column], merge: bool, keys: Sequence[s
 def param_radiation(df: DataFrame, day_id: str = "DOY", latitude: str = "LAT", radiation: str = "ALLSKY_SFC_SW_DWN", merge: bool = True) -> DataFrame:
     """n_sun (sunshine hours), N (daylight hours), RTA (radiation above the atmosphere).
 
-    A missing radiation counts as the median over all rows, which is one aggregate joined to every row.
+    A missing radiation counts as the median over all rows, which is found first.
     """
     require(df, [day_id, latitude, radiation])
-    middle = df.agg(F.median(radiation).alias("_median"))
-    full = df.crossJoin(F.broadcast(middle))  # one row
+    middle = exact_quantiles(df, [radiation], (0.5,))[radiation]
     hours, above = solar.daylength(F.col(day_id), F.col(latitude)), solar.extraterrestrial_radiation(F.col(day_id), F.col(latitude))
-    share = F.try_divide(F.coalesce(F.col(radiation), F.col("_median")), above)
+    share = F.try_divide(F.coalesce(F.col(radiation), F.lit(middle[0] if middle else None).cast("double")), above)
     sunshine = F.when(share.isNotNull(), F.least(F.greatest(hours * share, F.lit(0.0)), hours))
-    return _result(full, {"n_sun": sunshine, "N": hours, "RTA": above}, merge, META_COLUMNS).drop("_median")
+    return _result(df, {"n_sun": sunshine, "N": hours, "RTA": above}, merge, META_COLUMNS)
 
 
 def param_atmospheric(df: DataFrame, prec: str = "PRECTOT", dew: str = "T2MDEW", tmin: str = "T2M_MIN", tmax: str = "T2M_MAX", radiation: str = "ALLSKY_SFC_SW_DWN", ground: float = 0.0, altitude: float | str = 600.0, alpha: float = 1.26, merge: bool = False) -> DataFrame:

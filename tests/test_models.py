@@ -179,3 +179,19 @@ def test_registered_models_take_all_environments(spark, sf):
     got = models.QUERIES["kernel_model"](spark, sf).select("env", "gid").distinct().count()
     assert got == weather.phenotypes(spark, sf).where("value IS NOT NULL").select("env", "gid").count()
     assert models._HOW == gibbs.Sampling()
+
+
+def test_large_grid_of_low_rank_stays_small():
+    import resource
+
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(600, 5)), rng.normal(size=(30, 3))
+    kg, ke = a @ a.T, b @ b.T
+    ig, ie = (x.ravel() for x in np.meshgrid(np.arange(600), np.arange(30), indexing="ij"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = kernelset.kronecker_spectrum(kg, ke, ig, ie, 1e-6)
+    assert found.u.shape == (18_000, 15)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kB; all products of columns would take 2.6 GB
+    at = rng.integers(0, 18_000, 50)
+    assert np.allclose((found.u[at] * found.s) @ found.u[at].T, kg[np.ix_(ig[at], ig[at])] * ke[np.ix_(ie[at], ie[at])])
+    assert kernelset.kronecker_spectrum(kg, ke, ig, ie, 1e-6, 0.5).u.shape[1] < 15

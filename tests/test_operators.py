@@ -341,3 +341,16 @@ def test_stream_windows(spark, tmp_path):
     assert spark.table("s_o").count() == 12
     assert spark.table("s_i").where("n = 72").count() >= 2
     assert spark.table("s_n").where("n = 10").count() >= 8
+
+
+def test_quantiles_are_exact(spark):
+    from agrolith.operators.ranks import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])
+    df = spark.createDataFrame([(float(v), float(round(v)), None) if i % 7 else (None, float(round(v)), None) for i, v in enumerate(x)], "a double, b double, c double")
+    probs = (0.0, 0.05, 0.5, 0.77, 1.0)
+    got = exact_quantiles(df, ["a", "b", "c"], probs, ranges=20)
+    assert got["c"] == []
+    assert got["a"] == pytest.approx(np.quantile([v for i, v in enumerate(x) if i % 7], probs)) and got["b"] == pytest.approx(np.quantile(np.round(x), probs))
+    assert exact_quantiles(df.limit(0), ["a"], probs) == {"a": []}
