@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pseudo_observations(w: DataFrame) -> DataFrame:
-    """Ranks over environments divided by one more than their number; equal values share their mean rank."""
+def pseudo_observations(w: DataFrame, ties: str = "average") -> DataFrame:
+    """Ranks over environments divided by one more than their number.
+
+    Equal values share their mean, least or greatest rank (average, min, max), or follow the environments' names (first, last).
+    """
     order, same, all_ = Window.partitionBy("covariable").orderBy("value"), Window.partitionBy("covariable", "value"), Window.partitionBy("covariable")
-    rank = F.rank().over(order) + (F.count("*").over(same) - 1) / 2
-    return w.select("env", "covariable", (rank / (F.count("*").over(all_) + 1)).alias("value"))
+    low, n = F.rank().over(order), F.count("*").over(same)
+    named = lambda by: F.row_number().over(Window.partitionBy("covariable").orderBy("value", by))
+    ranks = {"average": low + (n - 1) / 2, "min": low, "max": low + n - 1, "first": named("env"), "last": named(F.desc("env"))}
+    if ties not in ranks:
+        raise ValueError(f"unknown treatment of ties {ties}")
+    return w.select("env", "covariable", (ranks[ties] / (F.count("*").over(all_) + 1)).alias("value"))
 
 
 def _dominance(u: DataFrame, below: bool) -> DataFrame:
@@ -23,7 +30,7 @@ def _dominance(u: DataFrame, below: bool) -> DataFrame:
     return pairs.groupBy("block", "env").agg((F.sum("all") / (F.count("*") + 1)).alias("value"))
 
 
-def env_copula(w: DataFrame, index: str = "pobs", groups: Mapping[str, str] | None = None) -> DataFrame:
+def env_copula(w: DataFrame, index: str = "pobs", groups: Mapping[str, str] | None = None, ties: str = "average") -> DataFrame:
     """(env, covariable, value) of pseudo-observations (cop_u_), the joint copula (cop_C_), its survival form (cop_surv_), the
     Kendall index (cop_K_, the empirical distribution of C scaled to 0..1), or all of them.
 
@@ -31,7 +38,7 @@ def env_copula(w: DataFrame, index: str = "pobs", groups: Mapping[str, str] | No
     """
     if index not in ("pobs", "joint", "survival", "kendall", "all"):
         raise ValueError(f"unknown index {index}")
-    u = pseudo_observations(w)
+    u = pseudo_observations(w, ties)
     block = F.lit("all")
     if groups:
         block = F.lit(None).cast("string")

@@ -107,9 +107,9 @@ def coverage_by_position(spark, sf_dir):
     return rounded(scan.coverage_by_position(_sites(spark, sf_dir)))
 
 
-@query("coverage_by_covariate", "SELECT p_brand AS covariate, count(*) AS n, max(p_retailprice) AS max_exceedance, round(avg(p_retailprice), 4) AS mean_exceedance FROM part WHERE p_size > 40 GROUP BY 1")
+@query("coverage_by_covariate", "SELECT p_brand AS covariate, count(*) AS n, max(p_retailprice) AS max_exceedance, round(avg(p_retailprice), 4) AS mean_exceedance FROM part GROUP BY 1")
 def coverage_by_covariate(spark, sf_dir):
-    out = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_brand").alias("covariate"), F.col("p_retailprice").alias("exceedance_sd"))
+    out = table(spark, sf_dir, "part").select(F.col("p_brand").alias("covariate"), F.col("p_retailprice").alias("exceedance_sd"))
     return rounded(scan.coverage_by_covariate(out))
 
 
@@ -133,10 +133,11 @@ def genotype_effects(spark, sf_dir):
     return rounded(out, 3)
 
 
-@query("kernel_expanded", """WITH o AS (SELECT o_orderkey AS obs, o_orderkey % 10 AS k FROM orders WHERE o_orderkey < 40), e AS (SELECT label AS k, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings), w AS (SELECT k, pos, round(avg(CAST(x AS DOUBLE)), 6) AS v FROM e GROUP BY 1, 2),
+@query("kernel_expanded", f"""WITH {_PHENO}, o AS (SELECT env || ':' || gid AS obs, CAST(substr(env, 8) AS INTEGER) % 10 AS k FROM p), e AS (SELECT label AS k, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings), w AS (SELECT k, pos, round(avg(CAST(x AS DOUBLE)), 6) AS v FROM e GROUP BY 1, 2),
 l AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM w a JOIN w b USING (pos) GROUP BY 1, 2), n AS (SELECT i, j, v / avg(CASE WHEN i = j THEN v END) OVER () AS v FROM l) SELECT a.obs AS i, b.obs AS j, round(v, 4) AS value FROM n JOIN o a ON a.k = n.i JOIN o b ON b.k = n.j""")
 def kernel_expanded(spark, sf_dir):
-    obs = table(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.col("o_orderkey").alias("obs"), F.concat(F.lit("L"), (F.col("o_orderkey") % 10).cast("string")).alias("env"))
+    """Cells of all observations: environments by genotypes, two environments or more to a label."""
+    obs = phenotypes(spark, sf_dir).select(F.concat_ws(":", "env", "gid").alias("obs"), F.concat(F.lit("L"), (F.substring("env", 8, 9).cast("int") % 10).cast("string")).alias("env"))
     return rounded(kernels.expanded(kernels.linear_kernel(embedding_w(spark, sf_dir)), obs))
 
 
@@ -188,10 +189,10 @@ def kernel_model_clustered(spark, sf_dir):
 @query("scan_untested")
 def scan_untested(spark, sf_dir):
     met = simulate.sim_met(K=simulate.sim_markers(20, 100, seed=1).g, C=simulate.sim_met_C(8, structure="ar1", rho=0.6), h2=0.6, seed=2)
-    data, w = met.data.sort_values(["env", "gid"]).reset_index(drop=True), simulate.sim_W(met.target, n_var=10, seed=3)
+    data, w = met.data.sort_values(["env", "gid"]).reset_index(drop=True), simulate.sim_W(met.target, n_var=64, seed=3)
     ke = pd.DataFrame(simulate.gram(w.w.to_numpy()), w.w.index, w.w.index)
     fit = gibbs.kernel_model("value", data, kernelset.get_kernel(data, met.kinship, ke, "RNMM"), how=_HOW)
-    new = embedding_w(spark, sf_dir).where("covariable <= 'v10'").withColumn("covariable", F.concat(F.lit("V"), F.substring("covariable", 2, 2).cast("int").cast("string")))
+    new = embedding_w(spark, sf_dir).withColumn("covariable", F.concat(F.lit("V"), F.substring("covariable", 2, 2).cast("int").cast("string")))
     spread = F.stddev_samp("value").over(Window.partitionBy("covariable"))
     return scan.scan_untested_envs(fit, w.to_spark(spark), new.withColumn("value", F.col("value") / spread)).predictions
 
@@ -204,7 +205,7 @@ def env_pca(spark, sf_dir):
 @query("pc_associate")
 def pc_associate(spark, sf_dir):
     w = embedding_w(spark, sf_dir)
-    return pca.pc_associate(pca.env_pca(w), w.where("covariable <= 'v05'").select("env", F.col("covariable").alias("column"), "value"), 3)
+    return pca.pc_associate(pca.env_pca(w), w.select("env", F.col("covariable").alias("column"), "value"), 3)
 
 
 @query("loading_curve")
@@ -221,7 +222,7 @@ def env_cluster(spark, sf_dir):
 @query("env_target_importance")
 def env_target_importance(spark, sf_dir):
     w = embedding_w(spark, sf_dir)
-    return groups.env_target_importance(w.where("covariable <= 'v05'"), w.where("covariable > 'v50'"), k=3, trees=50)[0]
+    return groups.env_target_importance(w.where("covariable <= 'v32'"), w.where("covariable > 'v32'"), k=3, trees=50)[0]  # half are the target, half what explains it
 
 
 @query("mined_types")
@@ -233,8 +234,8 @@ def mined_types(spark, sf_dir):
 @query("soil_classification")
 def soil_classification(spark, sf_dir):
     v = F.col("embedding")
-    sites = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("S"), (F.col("vec_id") % 60).cast("string")).alias("env")).agg(*[F.avg(v[i].cast("double")).alias(f"p{i}") for i in range(4)])
-    return groups.soil_classification(sites, [f"p{i}" for i in range(4)], groups=range(1, 5)).zones
+    sites = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("S"), (F.col("vec_id") % 60).cast("string")).alias("env")).agg(*[F.avg(v[i].cast("double")).alias(f"p{i}") for i in range(64)])
+    return groups.soil_classification(sites, [f"p{i}" for i in range(64)], groups=range(1, 5), pca=True, pca_var=0.5).zones
 
 
 @query("sim_met")

@@ -209,13 +209,13 @@ def legend_lookup(spark, sf_dir):
     return zones.with_legend(sites, zones.zone_legend(spark)).select("env", "code", "moisture", "arable")
 
 
-@query("raster_sample", "SELECT s_suppkey AS env, l_partkey AS cell, round(v, 4) AS value FROM (SELECT s_suppkey, CAST(floor((90 - (s_suppkey % 170 - 85 + 0.25)) / 10) AS INTEGER) AS r, CAST(floor((s_suppkey * 7 % 360 - 180 + 0.25 + 180) / 10) AS INTEGER) AS c FROM supplier) s JOIN (SELECT p_partkey AS l_partkey, CAST(p_partkey // 36 % 18 AS INTEGER) AS r, CAST(p_partkey % 36 AS INTEGER) AS c, p_retailprice AS v FROM part WHERE p_partkey < 648) p USING (r, c)")
+@query("raster_sample", "SELECT s_suppkey AS env, layer, l_partkey AS cell, round(v, 4) AS value FROM (SELECT s_suppkey, CAST(floor((90 - (s_suppkey % 170 - 85 + 0.25)) / 10) AS INTEGER) AS r, CAST(floor((s_suppkey * 7 % 360 - 180 + 0.25 + 180) / 10) AS INTEGER) AS c FROM supplier) s JOIN (SELECT p_partkey AS l_partkey, CAST(p_partkey // 36 % 18 AS INTEGER) AS r, CAST(p_partkey % 36 AS INTEGER) AS c, 'layer' || CAST(p_partkey // 648 AS VARCHAR) AS layer, p_retailprice AS v FROM part) p USING (r, c)")
 def raster_sample(spark, sf_dir):
     k = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(k.alias("env"), (k % 170 - 85 + 0.25).alias("lat"), (k * 7 % 360 - 180 + 0.25).alias("lon"))
     p = F.col("p_partkey")
-    cells = table(spark, sf_dir, "part").where(p < 648).select(F.lit("elev").alias("layer"), p.alias("cell"), (F.floor(p / 36) % 18).cast("int").alias("row"), (p % 36).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
-    return rounded(raster.sample(points, cells, raster.Grid(-180.0, 90.0, 10.0)).where("cell IS NOT NULL").select("env", "cell", "value"))
+    cells = table(spark, sf_dir, "part").select(F.concat(F.lit("layer"), F.floor(p / 648).cast("string")).alias("layer"), p.alias("cell"), (F.floor(p / 36) % 18).cast("int").alias("row"), (p % 36).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
+    return rounded(raster.sample(points, cells, raster.Grid(-180.0, 90.0, 10.0)).where("cell IS NOT NULL").select("env", "layer", "cell", "value"))
 
 
 # ---- water -----------------------------------------------------------------------------------------------------------
@@ -292,9 +292,28 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
 
 
-@query("gap_interpolation")
-def gap_interpolation(spark, sf_dir):
-    from agrolith.sources.satellite import to_daily
+_SPARSE = f"""{ENV_DAYS}, sp AS (SELECT env, min(date) AS date, avg(T2M) AS x FROM d GROUP BY env, date_diff('day', DATE '2024-01-01', date) // 8), sn AS (SELECT env, min(date) AS a, max(date) AS b FROM sp GROUP BY 1),
+dy AS (SELECT env, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM sn), jo AS (SELECT dy.env, dy.date, sp.x, CASE WHEN sp.x IS NOT NULL THEN dy.date END AS known FROM dy LEFT JOIN sp ON sp.env = dy.env AND sp.date = dy.date),
+wi AS (SELECT *, last_value(x IGNORE NULLS) OVER p AS lx, last_value(known IGNORE NULLS) OVER p AS ld, first_value(x IGNORE NULLS) OVER f AS rx, first_value(known IGNORE NULLS) OVER f AS rd FROM jo
+WINDOW p AS (PARTITION BY env ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY env ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+gp AS (SELECT *, date_diff('day', ld, rd) AS gap FROM wi)"""
+_FILLED = {"linear": "lx + (rx - lx) * coalesce(date_diff('day', ld, date) / nullif(gap, 0), 0)", "constant": "lx", "none": "x"}
 
-    sparse = env_days(spark, sf_dir).where(F.col("daysFromStart") % 8 == 1).select("env", F.col("date").alias("YYYYMMDD"), F.col("T2M").alias("ndvi"))
-    return rounded(to_daily(sparse, ["ndvi"]))
+
+def _composites(spark, sf_dir):
+    """A value for every eight days, dated by the first: as composites of a satellite come."""
+    days = env_days(spark, sf_dir).groupBy("env", F.floor(F.datediff("date", F.lit("2024-01-01").cast("date")) / 8).alias("at"))
+    return days.agg(F.min("date").alias("YYYYMMDD"), F.avg("T2M").alias("ndvi")).drop("at")
+
+
+def _gaps(method: str, name: str):
+    @query(name, f"WITH {_SPARSE} SELECT env, date AS YYYYMMDD, round(CASE WHEN gap <= 16 THEN {_FILLED[method]} END, 4) AS ndvi, coalesce(gap > 16, true) AS ndvi_gap FROM gp")
+    def run(spark, sf_dir):
+        from agrolith.sources.satellite import to_daily
+
+        return rounded(to_daily(_composites(spark, sf_dir), ["ndvi"], method))
+
+    return run
+
+
+gap_interpolation, gap_constant, gap_none = _gaps("linear", "gap_interpolation"), _gaps("constant", "gap_constant"), _gaps("none", "gap_none")

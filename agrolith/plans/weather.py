@@ -253,36 +253,33 @@ def interval_indices(spark, sf_dir):
 
 # ---- copula ----------------------------------------------------------------------------------------------------------
 
-_SIX = EMBEDDING_W.replace("w AS", "w0 AS") + ", w AS (SELECT * FROM w0 WHERE covariable IN ('v01', 'v02', 'v03'))"
-_U = f"{_SIX}, u AS (SELECT env, covariable, (rank() OVER (PARTITION BY covariable ORDER BY value) + (count(*) OVER (PARTITION BY covariable, value) - 1) / 2.0) / (count(*) OVER (PARTITION BY covariable) + 1) AS value FROM w)"
+#: Eight blocks of eight covariables.
+_BLOCKS = {f"v{i:02d}": f"b{(i - 1) // 8 + 1}" for i in range(1, 65)}
+_U = f"{EMBEDDING_W}, u AS (SELECT env, covariable, 'b' || ((CAST(substr(covariable, 2) AS INTEGER) - 1) // 8 + 1) AS block, (rank() OVER (PARTITION BY covariable ORDER BY value) + (count(*) OVER (PARTITION BY covariable, value) - 1) / 2.0) / (count(*) OVER (PARTITION BY covariable) + 1) AS value FROM w)"
 
 
 def _dominates(sign: str) -> str:
-    return f"jj AS (SELECT a.env, b.env AS other, min(CASE WHEN b.value {sign} a.value THEN 1 ELSE 0 END) AS al FROM u a JOIN u b USING (covariable) GROUP BY 1, 2), j AS (SELECT env, sum(al) / (count(*) + 1) AS value FROM jj GROUP BY 1)"
-
-
-def _three(spark, sf_dir) -> DataFrame:
-    return embedding_w(spark, sf_dir).where(F.col("covariable").isin("v01", "v02", "v03"))
+    return f"jj AS (SELECT a.block, a.env, b.env AS other, min(CASE WHEN b.value {sign} a.value THEN 1 ELSE 0 END) AS al FROM u a JOIN u b USING (covariable) GROUP BY 1, 2, 3), j AS (SELECT block, env, sum(al) / (count(*) + 1) AS value FROM jj GROUP BY 1, 2)"
 
 
 @query("copula_pobs", f"WITH {_U} SELECT env, 'cop_u_' || covariable AS covariable, round(value, 6) AS value FROM u")
 def copula_pobs(spark, sf_dir):
-    return rounded(copula.env_copula(_three(spark, sf_dir)), 6)
+    return rounded(copula.env_copula(embedding_w(spark, sf_dir)), 6)
 
 
-@query("copula_joint", f"WITH {_U}, {_dominates('<=')} SELECT env, 'cop_C_all' AS covariable, round(value, 6) AS value FROM j")
+@query("copula_joint", f"WITH {_U}, {_dominates('<=')} SELECT env, 'cop_C_' || block AS covariable, round(value, 6) AS value FROM j")
 def copula_joint(spark, sf_dir):
-    return rounded(copula.env_copula(_three(spark, sf_dir), "joint"), 6)
+    return rounded(copula.env_copula(embedding_w(spark, sf_dir), "joint", _BLOCKS), 6)
 
 
-@query("copula_survival", f"WITH {_U}, {_dominates('>=')} SELECT env, 'cop_surv_all' AS covariable, round(value, 6) AS value FROM j")
+@query("copula_survival", f"WITH {_U}, {_dominates('>=')} SELECT env, 'cop_surv_' || block AS covariable, round(value, 6) AS value FROM j")
 def copula_survival(spark, sf_dir):
-    return rounded(copula.env_copula(_three(spark, sf_dir), "survival"), 6)
+    return rounded(copula.env_copula(embedding_w(spark, sf_dir), "survival", _BLOCKS), 6)
 
 
-@query("copula_kendall", f"WITH {_U}, {_dominates('<=')}, k AS (SELECT env, cume_dist() OVER (ORDER BY value) * count(*) OVER () / (count(*) OVER () + 1) AS k FROM j) SELECT env, 'cop_K_all' AS covariable, round(CASE WHEN max(k) OVER () > min(k) OVER () THEN (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) ELSE k END, 6) AS value FROM k")
+@query("copula_kendall", f"WITH {_U}, {_dominates('<=')}, k AS (SELECT block, env, cume_dist() OVER (PARTITION BY block ORDER BY value) * count(*) OVER (PARTITION BY block) / (count(*) OVER (PARTITION BY block) + 1) AS k FROM j) SELECT env, 'cop_K_' || block AS covariable, round(CASE WHEN max(k) OVER v > min(k) OVER v THEN (k - min(k) OVER v) / (max(k) OVER v - min(k) OVER v) ELSE k END, 6) AS value FROM k WINDOW v AS (PARTITION BY block)")
 def copula_kendall(spark, sf_dir):
-    return rounded(copula.env_copula(_three(spark, sf_dir), "kendall"), 6)
+    return rounded(copula.env_copula(embedding_w(spark, sf_dir), "kendall", _BLOCKS), 6)
 
 
 # ---- kernels ---------------------------------------------------------------------------------------------------------
