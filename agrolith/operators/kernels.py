@@ -55,11 +55,19 @@ def _rounded(k: DataFrame, digits: int | None) -> DataFrame:
     return k if digits is None else k.withColumn("value", F.round("value", digits))
 
 
-def env_kernel(w: DataFrame, stages: Sequence[str] | None = None, kind: str = "linear", h: float = 1.0, layers: int = 1, digits: int | None = 5) -> Mapping[str, DataFrame]:
+def env_kernel(w: DataFrame, stages: Sequence[str] | None = None, kind: str = "linear", h: float = 1.0, layers: int = 1, digits: int | None = 5, sd_tol: float | None = None, observations: DataFrame | None = None) -> Mapping[str, DataFrame]:
     """``var_cov`` (covariables) and ``env_cov`` (environments), or one environment kernel for each stage.
 
-    A stage takes the covariables whose name matches it as a regular expression, so V1 also takes V1_V6.
+    A stage takes the covariables whose name matches it as a regular expression, so V1 also takes V1_V6. With ``sd_tol``,
+    covariables that deviate by more than that are left out first. With ``observations`` (obs, env), kernels of environments come
+    for these, as Z K Z'.
     """
+    if sd_tol is not None:
+        kept = w.groupBy("covariable").agg(F.stddev_samp("value").alias("sd")).where(F.col("sd") <= sd_tol).select("covariable")
+        w = w.join(kept, "covariable", "left_semi")
+    if observations is not None:
+        found = env_kernel(w, stages, kind, h, layers, digits)
+        return {k: v if k == "var_cov" else expanded(v, observations) for k, v in found.items()}
     make = {"linear": linear_kernel, "gaussian": lambda x: gaussian_kernel(x, h), "arccos": lambda x: arc_cosine_kernel(x, layers)}[kind]
     if stages:
         return {s: _rounded(make(w.where(F.col("covariable").rlike(s))), digits) for s in stages}

@@ -48,14 +48,8 @@ def _kept(layers: Column, depth: Column) -> Column:
 STRESS = ("none", "mild", "moderate", "severe")
 
 
-def water_balance(df: DataFrame, capacity: DataFrame, env: str = "env", day: str = "daysFromStart", rain: str = "PRECTOT", demand: str | None = None, irrigation: str | None = None, root: tuple[float, float, float] = (1000.0, 300.0, 60.0), kc_days: Sequence[float] = (1, 20, 45, 90, 120), kc: Sequence[float] = (0.4, 0.75, 1.15, 1.15, 0.6), p: float = 0.55, adjust: bool = True, start_depletion: float = 0.0, digits: int | None = 4) -> DataFrame:
-    """(env, day, rain, irrigation, et0, kc, etc, taw, raw, ks, eta, drainage, depletion, asw, stress, stress_order) of each day.
-
-    The stress coefficient of a day follows the depletion of the day before against the day's own capacity. An
-    environment's days are gathered in order, and a fold carries the depletion through them, without leaving SQL; the array
-    is as long as a season. ``root`` is (greatest depth, depth at first, day of the greatest). Environments without
-    soil are an error of the caller: see ``without_soil``.
-    """
+def daily_demand(df: DataFrame, capacity: DataFrame, env: str = "env", day: str = "daysFromStart", rain: str = "PRECTOT", demand: str | None = None, irrigation: str | None = None, root: tuple[float, float, float] = (1000.0, 300.0, 60.0), kc_days: Sequence[float] = (1, 20, 45, 90, 120), kc: Sequence[float] = (0.4, 0.75, 1.15, 1.15, 0.6), p: float = 0.55, adjust: bool = True) -> DataFrame:
+    """(env, day, rain, irrigation, et0, kc, etc, taw, raw): what a day brings and asks for, before the bucket."""
     if demand is None:
         demand = next((c for c in ("ETP", "EVPTRNS") if c in df.columns), None)
     if demand is None:
@@ -68,7 +62,18 @@ def water_balance(df: DataFrame, capacity: DataFrame, env: str = "env", day: str
     rows = df.select(F.col(env).alias("env"), F.col(day).cast("int").alias("day"), F.coalesce(F.col(rain).cast("double"), zero).alias("rain"), (F.coalesce(F.col(irrigation).cast("double"), zero) if irrigation else zero).alias("irrigation"), et0.alias("et0"), coefficient.alias("kc"))
     rows = rows.join(soil, "env").withColumn("etc", F.col("kc") * F.col("et0")).withColumn("taw", _kept(F.col("_layers"), root_depth(F.col("day").cast("double"), *root)))
     share = F.least(F.greatest(p + 0.04 * (5 - F.col("etc")), F.lit(0.1)), F.lit(0.8)) if adjust else F.lit(p)
-    rows = rows.withColumn("raw", share * F.col("taw"))
+    return rows.withColumn("raw", share * F.col("taw")).drop("_layers")
+
+
+def water_balance(df: DataFrame, capacity: DataFrame, env: str = "env", day: str = "daysFromStart", rain: str = "PRECTOT", demand: str | None = None, irrigation: str | None = None, root: tuple[float, float, float] = (1000.0, 300.0, 60.0), kc_days: Sequence[float] = (1, 20, 45, 90, 120), kc: Sequence[float] = (0.4, 0.75, 1.15, 1.15, 0.6), p: float = 0.55, adjust: bool = True, start_depletion: float = 0.0, digits: int | None = 4) -> DataFrame:
+    """(env, day, rain, irrigation, et0, kc, etc, taw, raw, ks, eta, drainage, depletion, asw, stress, stress_order) of each day.
+
+    The stress coefficient of a day follows the depletion of the day before against the day's own capacity. An
+    environment's days are gathered in order, and a fold carries the depletion through them, without leaving SQL; the array
+    is as long as a season. ``root`` is (greatest depth, depth at first, day of the greatest). Environments without
+    soil are an error of the caller: see ``without_soil``.
+    """
+    rows, zero = daily_demand(df, capacity, env, day, rain, demand, irrigation, root, kc_days, kc, p, adjust), F.lit(0.0)
     fields = ("day", "rain", "irrigation", "et0", "kc", "etc", "taw", "raw")
     seasons = rows.groupBy("env").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("days"))
     start = F.struct(F.lit(float(start_depletion)).alias("dr"), F.array().cast("array<struct<ks:double,drainage:double,dr:double>>").alias("out"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agrolith.plans import models, phenology, weather
+from agrolith.plans import models, more, phenology, weather
 
-MODULES = (weather, phenology, models)
+MODULES = (weather, phenology, models, more)
 
 
 def queries() -> dict:

@@ -250,11 +250,14 @@ bal AS (SELECT env, k, day, etc, taw, raw, rain, 1.0::DOUBLE AS ks, greatest(-(0
  UNION ALL SELECT env, k, day, etc, taw, raw, rain, ks, greatest(-(was - rain + ks * etc), 0), least(greatest(was - rain + ks * etc, 0), taw) FROM (SELECT p.*, q.dr AS was, CASE WHEN p.taw <= 0 THEN 0 WHEN q.dr <= p.raw THEN 1 ELSE greatest((p.taw - q.dr) / (p.taw - p.raw), 0) END AS ks FROM p JOIN bal q ON p.env = q.env AND p.k = q.k + 1))"""
 
 
-def _balance(spark, sf_dir, digits=None):
+def _water_days(spark, sf_dir):
     from agrolith.operators.weather import process_weather
 
-    df = process_weather(env_days(spark, sf_dir).withColumn("PRECTOT", F.col("PRECTOT")))
-    return water.water_balance(df, _capacity(spark), digits=digits)
+    return process_weather(env_days(spark, sf_dir).withColumn("PRECTOT", F.col("PRECTOT")))
+
+
+def _balance(spark, sf_dir, digits=None):
+    return water.water_balance(_water_days(spark, sf_dir), _capacity(spark), digits=digits)
 
 
 @query("water_balance", f"WITH RECURSIVE {_WATER} SELECT env, day, round(etc, 4) AS etc, round(taw, 4) AS taw, round(ks, 4) AS ks, round(ks * etc, 4) AS eta, round(drainage, 4) AS drainage, round(dr, 4) AS depletion FROM bal")

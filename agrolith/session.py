@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; local where that is unset and the session has one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from its source folder.
 
