@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.constants import POSITIONS
 from agrolith.models.gibbs import Fit, roles, varcomp_summary
 from agrolith.operators.covariables import even_positions
 from agrolith.operators.kernels import to_matrix
+from agrolith.session import shared_folder
 
 _PRED = "env string, gid string, yHat double, lower double, upper double, ci_width double, prob_win double"
 _SITE = "env string, position string, n_outside int, prop_outside double, max_exceedance_sd double, mean_exceedance_sd double, mahalanobis double, mahalanobis_ratio double, max_similarity double, mean_similarity double, weight_sum double, weight_negativity double, effective_n_train double, divergence_index double, nearest_training_env string, spread double, mean_ci double, genetic_var double, genetic_lower double, genetic_upper double, genomic_h2 double"
@@ -125,21 +126,22 @@ def scan_untested_envs(fit: Fit, w_train: DataFrame, w_new: DataFrame, standardi
     rows = w_new.where(F.col("covariable").isin(train.covs)).groupBy("env").agg(F.map_from_entries(F.collect_list(F.struct("covariable", "value"))).alias("w"))
     shared = spark.sparkContext.broadcast(train)
 
-    def each(make):
-        def run(batches):
-            t = shared.value
-            for batch in batches:
-                for name, w in zip(batch["env"], batch["w"], strict=True):
-                    own = dict(w)
-                    yield make(*t.site(name, np.array([own.get(c, np.nan) for c in t.covs], float)))
-
-        return run
+    def run(batches):
+        t = shared.value
+        for batch in batches:
+            for name, w in zip(batch["env"], batch["w"], strict=True):
+                own = dict(w)
+                pred, row, over = t.site(name, np.array([own.get(c, np.nan) for c in t.covs], float))
+                yield pd.DataFrame({"predictions": [pred.to_dict("records")], "site": [[dict(zip(names, row, strict=True))]], "exceedances": [[dict(zip(over_names, x, strict=True)) for x in over]]})
 
     names = [c.split()[0] for c in _SITE.split(", ")]
     over_names = [c.split()[0] for c in _OVER.split(", ")]
-    predictions = rows.mapInPandas(each(lambda p, r, o: p), _PRED)
-    sites = rows.mapInPandas(each(lambda p, r, o: pd.DataFrame([r], columns=names)), _SITE)
-    exceedances = rows.mapInPandas(each(lambda p, r, o: pd.DataFrame(o, columns=over_names)), _OVER)
+    struct = lambda schema: f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>"
+    # A site's cube is evaluated once: what comes of it is written, and its three tables are read from there.
+    path = shared_folder(spark, "scan")
+    rows.mapInPandas(run, f"predictions {struct(_PRED)}, site {struct(_SITE)}, exceedances {struct(_OVER)}").write.parquet(path)
+    cubes = spark.read.parquet(path)
+    predictions, sites, exceedances = (cubes.select(F.inline(c)) for c in ("predictions", "site", "exceedances"))
     ci_ref = sites.agg(F.median("mean_ci").alias("ref"))
     sites = sites.crossJoin(F.broadcast(ci_ref)).withColumns({"ci_width_ratio": F.col("mean_ci") / F.nullif("spread", F.lit(0.0)), "ci_inflation": F.col("mean_ci") / F.nullif("ref", F.lit(0.0))}).drop("ref")
     sites = sites.withColumn("flagged", F.array_position(F.array(*[F.lit(p) for p in POSITIONS]), F.col("position")) > POSITIONS.index(envelope_level))
@@ -243,6 +245,3 @@ def coverage_by_covariate(exceedances: DataFrame) -> DataFrame:
 def coverage_summary(scan: Scan) -> tuple[DataFrame, DataFrame]:
     return coverage_by_position(scan.sites), coverage_by_covariate(scan.exceedances)
 
-
-def session(scan: Scan) -> SparkSession:
-    return scan.predictions.sparkSession

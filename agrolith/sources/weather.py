@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from agrolith.constants import DAILY_VARIABLES, HOURLY_VARIABLES, SOIL_DIVISORS
 from agrolith.operators.hourly import daily_from_hourly, night_flag
 from agrolith.operators.weather import finish_download
-from agrolith.schema import require, strip_fill
+from agrolith.schema import require
 from agrolith.sources.runlog import Run, retry
 
 MAX_HOURLY = 15
@@ -96,6 +96,12 @@ def get_weather_resumable(spark: SparkSession, path: str, sites: DataFrame, fetc
     return Run(spark, path, {"kind": "weather", **request}).go(check_sites(sites), fetch, **going)
 
 
+def get_weather_in_batches(spark: SparkSession, path: str, sites: DataFrame, service: Callable[[dict], pd.DataFrame], request: dict, variables: Sequence[str] = DAILY_VARIABLES, **going) -> DataFrame:
+    """Daily weather by a run that can be taken up again, in batches of sites that tasks fetch; see ``Run.go_parallel``."""
+    sites, schema = check_sites(sites), "env string, YYYYMMDD date, " + ", ".join(f"{v} double" for v in variables)
+    return daily_weather(Run(spark, path, {"kind": "weather", **request}).go_parallel(sites, service, schema, **going), sites, variables)
+
+
 def get_soil_resumable(spark: SparkSession, path: str, sites: DataFrame, fetch: Callable[[dict], DataFrame], request: dict, wide: bool = False, stat: str = "mean", **going) -> DataFrame:
     """Soil profiles by a run that can be taken up again; parts are stored long and pivoted at the end."""
     long = Run(spark, path, {"kind": "soil", **request}).go(sites, fetch, **going)
@@ -103,7 +109,3 @@ def get_soil_resumable(spark: SparkSession, path: str, sites: DataFrame, fetch:
         return long
     names = sorted(r[0] for r in long.select("feature").distinct().collect())
     return long.groupBy("env").pivot("feature", names).agg(F.first(stat))
-
-
-def clean_fills(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    return strip_fill(df, variables)

@@ -249,6 +249,36 @@ def test_runs_resume(spark, tmp_path):
         runlog.Run(spark, path, {"kind": "soil"})
 
 
+def test_run_in_batches_and_restart(spark, tmp_path):
+    sites = spark.createDataFrame([(f"s{i}", float(i)) for i in range(7)], "env string, lat double")
+    gate = tmp_path / "open"
+
+    def service(site):
+        if site["env"] == "s3" and not gate.exists():
+            raise OSError("no answer")
+        return pd.DataFrame({"env": [site["env"]] * 2, "x": [site["lat"], 1.0]})
+
+    path = str(tmp_path / "run")
+    run = runlog.Run(spark, path, {"kind": "weather", "years": [1, 2]})
+    assert run.go_parallel(sites, service, "env string, x double", chunk=3, tries=1).count() == 12
+    states = {r["env"]: (r["status"], r["key"]) for r in runlog.latest(run.log()).collect()}
+    assert states["s3"][0] == "failed" and len({k for _, k in states.values()}) == 3
+    gate.touch()
+    again = runlog.Run.restart(spark, path)
+    assert again.request == {"kind": "weather", "years": [1, 2]} and again.sites().count() == 7
+    out = again.go_parallel(again.sites(), service, "env string, x double", tries=1)
+    assert out.count() == 14 and out.select("env").distinct().count() == 7 and again.log().count() == 8
+    with pytest.raises(ValueError, match="no run"):
+        runlog.Run.restart(spark, str(tmp_path / "other"))
+
+
+def test_restart_from_log(spark, tmp_path):
+    sites, path = spark.createDataFrame([("a",), ("b",)], "env string"), str(tmp_path / "run")
+    broken = lambda site: spark.createDataFrame([(site["env"], 1.0)], "env string, x double") if site["env"] == "a" else 1 / 0
+    assert runlog.Run(spark, path, {"kind": "soil"}).go(sites, broken, tries=1).count() == 1
+    assert runlog.restart_from_log(spark, path, lambda site: spark.createDataFrame([(site["env"], 2.0)], "env string, x double")).count() == 2
+
+
 def test_log_with_a_cut_line(spark, tmp_path):
     lines = [json.dumps({"seq": 1, "env": "a", "key": "a", "status": "failed", "time": "t", "message": ""}), json.dumps({"seq": 2, "env": "a", "key": "a", "status": "ok", "time": "t", "message": ""}), '{"seq": 3, "env": "b", "ke']
     (tmp_path / "log.json").write_text("\n".join(lines))
@@ -329,6 +359,24 @@ def test_streamed_thermal_time_equals_batch(spark, days, tmp_path):
     assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
 
 
+def test_streamed_water_and_runs_go_on_from_where_they_were(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(e, d, float(r), 0.0, 5.0, 40.0, 20.0) for e in ("a", "b") for d, r in enumerate(rng.choice([0, 0, 0, 30], 30))]
+    schema, src = "env string, day int, rain double, irrigation double, etc double, taw double, raw double", str(tmp_path / "in")
+    for part in (rows[:20] + rows[30:40], rows[20:30] + rows[40:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        out = streams.drained(streams.running_water(streams.day_stream(spark, src, schema)), str(tmp_path / "s"))
+    got, want = {(r["env"], r["day"]): (r["ks"], r["drainage"], r["depletion"]) for r in out.collect()}, {}
+    for e in ("a", "b"):
+        before = 0.0
+        for _, day, rain, _, etc, taw, raw in (r for r in rows if r[0] == e):
+            ks = 1.0 if before <= raw else max((taw - before) / (taw - raw), 0.0)
+            balance = before - rain + ks * etc
+            before = min(max(balance, 0.0), taw)
+            want[e, day] = (ks, max(-balance, 0.0), before)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_stream_windows(spark, tmp_path):
     src = str(tmp_path / "in")
     df = spark.sql("SELECT 'a' AS env, ts, CAST(day(ts) AS DOUBLE) AS x FROM (SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-12', interval 1 hour)) AS ts)")
