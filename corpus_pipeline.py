@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import lang_id, mixing, packing, pii, probminhash
-from agrolith.llm.common import fresh, shared_dir
+from agrolith.llm.common import checkpoint, fresh, shared_dir
+from agrolith.llm.mixing import few
 from agrolith.session import let_workers_import
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,14 +30,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of near-duplicates one row stays: one with the least id (a null is the greatest), whatever rows equal it.
 
     A row is known by a digest of id and text. Rows equal in both are alike for this; of their other columns one row's are
-    kept. They are reduced to one on the map side, before texts move.
+    kept. Only where a digest that stays is that of several rows are those reduced to one, on the map side, before texts move.
     """
     let_workers_import(spark)
     key, row = fresh(docs, "_row_key", "_row")
-    keyed = docs.withColumn(key, F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
-    kept = probminhash.classes(keyed, keep=(key,)).where("leads").select(key)
-    one = keyed.groupBy(key).agg(F.first(F.struct(*COLUMNS)).alias(row))
-    return one.join(kept, key, "left_semi").select(f"{row}.*")
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.select(*COLUMNS, F.unhex(digest).alias(key))
+    found = probminhash.classes(keyed, keep=(key,))
+    kept = checkpoint(found.groupBy(key).agg(F.max("leads").alias("leads"), F.count("*").alias("rows")).where("leads"))
+    out = keyed.join(kept.where("rows = 1").select(key), key, "left_semi").select(*COLUMNS)
+    if kept.where("rows > 1").isEmpty():
+        return out
+    repeated = keyed.join(few(kept.where("rows > 1").select(key)), key, "left_semi")
+    return out.unionByName(repeated.groupBy(key).agg(F.first(F.struct(*COLUMNS)).alias(row)).select(f"{row}.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
