@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -83,6 +84,14 @@ def bounded_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20
                 yield batch.slice(at, step)
 
 
+def drop_caches() -> None:
+    """Let go of what tasks of other operators remember in this Python worker, which Spark uses again for later stages."""
+    encode = sys.modules.get("agrolith.llm.encode")
+    if encode is not None:
+        encode.encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of passage, with underscores until no column of the input has them."""
     taken, out = {c.lower() for c in df.columns}, []

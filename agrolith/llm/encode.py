@@ -49,21 +49,29 @@ class _Pieces(dict):
         super().__init__()
         self.merge, self.letters = merge, _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
+    def merged(self, piece: str) -> bytes:
         ids = [x.id for x in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
-        self[piece] = out = pack(f"<{len(ids)}I", *ids)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = out = self.merged(piece)
         return out
 
 
 class _Words(dict):
-    """Ids of words between spaces, put together from those of their pieces."""
+    """Ids of words between spaces, put together from those of their pieces; a word of one piece is remembered here alone."""
 
     def __init__(self, pieces: _Pieces, split, before: str):
         super().__init__()
         self.pieces, self.split, self.before = pieces, split, before
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = out = b"".join([self.pieces[x] for x in self.split(self.before + word)])
+        parts, n = self.split(self.before + word), len(self.before)
+        if len(parts) == 1:
+            out = self.pieces.merged(parts[0])
+        else:
+            out = b"".join([self.get(x[n:]) or self.pieces[x] if x.startswith(self.before) else self.pieces[x] for x in parts])
+        self[word] = out
         return out
 
 
@@ -77,7 +85,7 @@ class Encoder:
     ``max_words`` words and as many pieces are remembered.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_words: int = 300_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.max_words = max_words

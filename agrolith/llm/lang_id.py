@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import bounded_batches
+from agrolith.llm.common import bounded_batches, drop_caches
 
 UND = "und"
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -220,7 +220,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches):
+        drop_caches()
+        for batch in bounded_batches(batches, 4 << 20):
             n = batch.num_rows
             texts = batch.column(at).to_pylist()
             real = [i for i, t in enumerate(texts) if t is not None and model.langs and any(map(str.isalpha, t))]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from agrolith.llm.common import Scratch, bounded_batches, checkpoint, shuffle_partitions
+from agrolith.llm.common import Scratch, bounded_batches, checkpoint, drop_caches, shuffle_partitions
 
 
 _EPS = 1e-9
@@ -152,6 +152,7 @@ def buckets_of(sig: np.ndarray, settings: Settings) -> np.ndarray:
 
 def _sketch(settings: Settings, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in bounded_batches(batches, 2 << 20):
             lists = [word_list(t) for t in batch.column(2).to_pylist()]
             sets = [shingles(w, settings.words) for w in lists]
