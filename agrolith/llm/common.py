@@ -75,6 +75,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most 8 MB at once, unless it was told otherwise: texts differ much in length, and a task
+    holds a batch several times over, outside the JVM's heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):  # Spark's own
+        spark.conf.set(name, str(8 << 20))
+
+
 def bounded_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds many more bytes than asked for, whatever the rows' sizes."""
     for batch in batches:

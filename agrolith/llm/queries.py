@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import audio, chat, fingerprint, lang_id, mixing, packing, pii, probminhash, sharding, token_files
-from agrolith.llm.common import table
+from agrolith.llm.common import small_batches, table
 
 #: Id that ends a document.
 END_ID = 1
@@ -83,9 +83,17 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _prepared(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack)
-    return {f.__name__: f for f in found}
+    return {f.__name__: _prepared(f) for f in found}
 
 
 def _escaped(column: str) -> str:
