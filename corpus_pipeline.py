@@ -13,16 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import lang_id, mixing, packing, pii, probminhash
-from agrolith.llm.common import checkpoint, fresh, shared_dir
+from agrolith.llm.common import checkpoint, fresh, shared_dir, small_batches
 from agrolith.llm.mixing import few
 from agrolith.session import let_workers_import
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _ready(spark: SparkSession) -> None:
+    let_workers_import(spark)
+    small_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language score is below the calibrated threshold, go."""
-    let_workers_import(spark)
+    _ready(spark)
     return lang_id.predict(docs, lang_id.fit(docs)).where("not rejected").select(*COLUMNS)
 
 
@@ -32,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row is known by a digest of id and text. Rows equal in both are alike for this; of their other columns one row's are
     kept. Only where a digest that stays is that of several rows are those reduced to one, on the map side, before texts move.
     """
-    let_workers_import(spark)
+    _ready(spark)
     key, row = fresh(docs, "_row_key", "_row")
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
     keyed = docs.select(*COLUMNS, F.unhex(digest).alias(key))
@@ -47,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in angle brackets; where that changes a text, n_chars follows it."""
-    let_workers_import(spark)
+    _ready(spark)
     (new,) = fresh(docs, "_clean")
     clean = pii.redact(pii.find(docs), new)
     n_chars = F.when(F.col(new) != F.col("text"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
@@ -56,13 +61,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    let_workers_import(spark)
+    _ready(spark)
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
-    let_workers_import(spark)
+    _ready(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
