@@ -80,7 +80,7 @@ def small_batches(spark: SparkSession) -> None:
     holds a batch several times over, outside the JVM's heap.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):  # Spark's own
+    if (spark.conf.get(name, None) or "").rstrip("b") == str(64 << 20):  # Spark's own
         spark.conf.set(name, str(8 << 20))
 
 
