@@ -85,7 +85,7 @@ class Encoder:
     ``max_words`` words and as many pieces are remembered.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_words: int = 200_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.max_words = max_words

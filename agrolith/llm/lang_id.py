@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import bounded_batches, drop_caches
+from agrolith.llm.common import bounded_batches, drop_caches, trimmed
 
 UND = "und"
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -234,4 +234,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             rejected = [t is None or not any(map(str.isalpha, t)) or bool(model.langs) and s < model.threshold(len(t)) for t, s in zip(texts, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], [*kept, *new])
 
-    return df.select(kept).mapInArrow(run, schema)
+    return df.select(kept).mapInArrow(trimmed(run), schema)

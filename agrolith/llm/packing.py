@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.llm.common import bounded_batches
+from agrolith.llm.common import bounded_batches, trimmed
 from agrolith.llm.encode import encoder
 
 
@@ -140,7 +140,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds, strict=True)], names)
             out.clear()
 
-        for batch in bounded_batches(batches, 4 << 20):
+        for batch in bounded_batches(batches, 2 << 20):
             texts = batch.column(1).to_pylist()
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 ids += end
@@ -160,7 +160,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
 
     if limits.loss < limits.tokens:
         raise ValueError("all tokens of a document bear loss: its limit can't be below that of tokens")
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _SCHEMA)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(run), _SCHEMA)
 
 
 def pack_examples(df: DataFrame, limits: Limits, id_col: str, tokens_col: str, loss_col: str, window: int = 1024) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from agrolith.llm.common import Scratch, bounded_batches, checkpoint, drop_caches, shuffle_partitions
+from agrolith.llm.common import Scratch, bounded_batches, checkpoint, drop_caches, shuffle_partitions, trimmed
 
 
 _EPS = 1e-9
@@ -153,7 +153,7 @@ def buckets_of(sig: np.ndarray, settings: Settings) -> np.ndarray:
 def _sketch(settings: Settings, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
-        for batch in bounded_batches(batches, 2 << 20):
+        for batch in bounded_batches(batches, 1 << 20):
             lists = [word_list(t) for t in batch.column(2).to_pylist()]
             sets = [shingles(w, settings.words) for w in lists]
             sig = signatures([h for h, _ in sets], [c for _, c in sets], settings.registers)
@@ -185,7 +185,7 @@ def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in bounded_batches(batches, 8 << 20):
+    for batch in bounded_batches(batches, 4 << 20):
         a, b, ah, ac, bh, bc = (batch.column(i).to_pylist() for i in range(6))
         out, last, right = [], None, None
         for i in range(len(a)):
@@ -224,7 +224,7 @@ def _compare(settings: Settings):
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-        for batch in bounded_batches(batches, 8 << 20):
+        for batch in bounded_batches(batches, 4 << 20):
             for *k, block, label, hashes, counts, firsts in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
                 if k != cell:
                     yield from done()
@@ -263,7 +263,7 @@ def _round(members: DataFrame, sets: DataFrame, settings: Settings) -> tuple[Dat
     pairs = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     left = pairs.join(sets, F.col("a") == F.col("s_node")).select("a", "b", F.col("hashes").alias("ah"), F.col("counts").alias("ac"))
     both = left.join(sets, F.col("b") == F.col("s_node")).select("a", "b", "ah", "ac", "hashes", "counts")
-    verdicts = checkpoint(both.mapInArrow(_verify, "a long, b long, similarity double"))
+    verdicts = checkpoint(both.mapInArrow(trimmed(_verify), "a long, b long, similarity double"))
     judged = checkpoint(members.join(verdicts, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("node", "bucket", "similarity"))
     # Buckets without an unlike member are done. A like member stays if an unlike one can be near it.
     nearest = checkpoint(judged.where(F.col("similarity") < least).groupBy(F.col("bucket").alias("b_bucket")).agg(F.max("similarity").alias("nearest")))
@@ -283,7 +283,7 @@ def _cells(members: DataFrame, sets: DataFrame, labels: DataFrame, settings: Set
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = rest.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "hashes", "counts", "firsts")
     dealt = cells.repartition(shuffle_partitions(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return checkpoint(dealt.mapInArrow(_compare(settings), "a long, b long"))
+    return checkpoint(dealt.mapInArrow(trimmed(_compare(settings)), "a long, b long"))
 
 
 def classes(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -296,7 +296,7 @@ def classes(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     kept = [f"kept_{c}" for c in keep]
     schema = ", ".join([_SKETCH, *[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[3:]]])
     with Scratch(df.sparkSession) as scratch:
-        sketches = scratch.saved(docs.mapInArrow(_sketch(settings, kept), schema), "sketches")
+        sketches = scratch.saved(docs.mapInArrow(trimmed(_sketch(settings, kept)), schema), "sketches")
         texts = checkpoint(sketches.groupBy("key").agg(F.min("id").alias("text_id"), F.min_by("row", F.coalesce("id", last)).alias("node")))
         chosen = sketches.join(texts.select("node"), F.col("row") == F.col("node"), "left_semi")
         members = chosen.select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm.common import bounded_batches, shared_dir, shuffle_partitions
+from agrolith.llm.common import bounded_batches, shared_dir, shuffle_partitions, trimmed
 from agrolith.llm.encode import encoder
 
 NULL_ID = -(2**63)
@@ -88,7 +88,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     order = (F.col("id").asc_nulls_first(), F.col("tie"))
     ordered = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("tie")
-    found = sorted(tuple(r) for r in ordered.mapInArrow(write, "shard long, docs long, ids long").collect())
+    found = sorted(tuple(r) for r in ordered.mapInArrow(trimmed(write), "shard long, docs long, ids long").collect())
     for name in os.listdir(path):
         if name.startswith("_"):  # of a task that failed or came second
             os.remove(os.path.join(path, name))
