@@ -136,7 +136,7 @@ _SET = ("size", "hashes", "counts", "firsts")
 
 
 def _least_type(most: int) -> str:
-    return "<u2" if most < 1 << 16 else "<u4"
+    return "u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
 
 
 def buckets_of(sig: np.ndarray, settings: Settings) -> np.ndarray:
@@ -176,7 +176,7 @@ def _sketch(settings: Settings, kept: list[str]):
 
 
 def _numbers(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4"}[len(data) // n]).astype(np.int64)
 
 
 def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
