@@ -42,7 +42,18 @@ def _byte_letters() -> dict[int, str]:
 _UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
 
 
-class _Pieces(dict):
+class _Remembered(dict):
+    """A table of two generations: when the young one is full it becomes the old one, from which what is met again comes back."""
+
+    old: dict = {}
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Pieces(_Remembered):
     """Ids of pieces, each merged by the tokenizer's model when first met."""
 
     def __init__(self, merge):
@@ -54,11 +65,11 @@ class _Pieces(dict):
         return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = self.merged(piece)
+        self[piece] = out = self.old.get(piece) or self.merged(piece)
         return out
 
 
-class _Words(dict):
+class _Words(_Remembered):
     """Ids of words between spaces, put together from those of their pieces; a word of one piece is remembered here alone."""
 
     def __init__(self, pieces: _Pieces, split, before: str):
@@ -66,11 +77,13 @@ class _Words(dict):
         self.pieces, self.split, self.before = pieces, split, before
 
     def __missing__(self, word: str) -> bytes:
-        parts, n = self.split(self.before + word), len(self.before)
-        if len(parts) == 1:
-            out = self.pieces.merged(parts[0])
-        else:
-            out = b"".join([self.get(x[n:]) or self.pieces[x] if x.startswith(self.before) else self.pieces[x] for x in parts])
+        out = self.old.get(word)
+        if out is None:
+            parts, n = self.split(self.before + word), len(self.before)
+            if len(parts) == 1:
+                out = self.pieces.merged(parts[0])
+            else:
+                out = b"".join([self.get(x[n:]) or self.pieces[x] if x.startswith(self.before) else self.pieces[x] for x in parts])
         self[word] = out
         return out
 
@@ -126,9 +139,8 @@ class Encoder:
         out = []
         for text in texts:
             out.append(self._one(text) if text else b"")
-            for known in (self.words, self.pieces):
-                if len(known) > self.max_words:
-                    known.clear()
+            self.words.turn(self.max_words // 2)
+            self.pieces.turn(self.max_words // 2)
         return out
 
 
