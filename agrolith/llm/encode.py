@@ -95,10 +95,10 @@ class Encoder:
     as ordinary text (the tokenizer's ``encode_special_tokens``). Merges never cross a piece, and pieces
     never cross a single space between words, so the ids of a text are those of its words. Texts with
     characters on which libraries could differ, or with the string of an added token, go to the tokenizer whole. About
-    ``max_words`` words and as many pieces are remembered.
+    ``max_words`` words and as many pieces are remembered, and those before them.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_words: int = 500_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.max_words = max_words
@@ -139,12 +139,12 @@ class Encoder:
         out = []
         for text in texts:
             out.append(self._one(text) if text else b"")
-            self.words.turn(self.max_words // 2)
-            self.pieces.turn(self.max_words // 2)
+            self.words.turn(self.max_words)
+            self.pieces.turn(self.max_words)
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_words: int = 500_000) -> Encoder:
     """One encoder for each file and Python worker."""
-    return Encoder(path)
+    return Encoder(path, max_words)

@@ -113,7 +113,7 @@ def powers_of_two(bin_: list[tuple], full: int) -> list[list[tuple]]:
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), window: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
     """Encode documents and pack them, cutting freely. A row for each piece: its place in the document and in its sequence, and its ids (little-endian unsigned 32-bit).
 
     All tokens of a document bear loss. A sequence's id is its partition times 2^32 plus its number there. The few
@@ -121,7 +121,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, remembered).encode, np.array([end_id], "<u4").tobytes()
         packer, number = Packer(limits, cut=True), TaskContext.get().partitionId() << 32
         out: list[tuple] = []
 
