@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import audio, chat, fingerprint, lang_id, mixing, packing, pii, probminhash, sharding, token_files
+from agrolith.llm import audio, chat, collocations, fingerprint, lang_id, mixing, packing, pii, probminhash, sharding, token_files
 from agrolith.llm.common import small_batches, table
 
 #: Id that ends a document.
@@ -83,6 +83,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _prepared(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -92,7 +96,7 @@ def _prepared(query):
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack)
+    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack, op13_collocations)
     return {f.__name__: _prepared(f) for f in found}
 
 
@@ -109,6 +113,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+m AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS c FROM m),
+scored AS (SELECT m.lang, m.phrase, m.a, m.c, x.f AS l, y.f AS r, CAST((2000000 * m.a::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS BIGINT) AS score
+  FROM cuts m JOIN f x ON x.lang = m.lang AND x.phrase = array_to_string(m.ws[1:m.c], ' ') JOIN f y ON y.lang = m.lang AND y.phrase = array_to_string(m.ws[m.c + 1:m.k], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+spans AS (SELECT lang, k, a, ws, unnest(range(2, k)) AS size FROM m WHERE k > 2),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM spans) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * b.a::HUGEINT)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query: not hashes by xxhash64, tokenizers, trained models or signatures."""
-    return {"op9_chat_format": OP9_SQL}
+    return {"op9_chat_format": OP9_SQL, "op13_collocations": OP13_SQL}
