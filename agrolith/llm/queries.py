@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import audio, chat, collocations, fingerprint, lang_id, mixing, packing, pii, probminhash, sharding, token_files
+from agrolith.llm import audio, best_fit, chat, collocations, fingerprint, lang_id, mixing, packing, pii, probminhash, sharding, token_files
 from agrolith.llm.common import small_batches, table
 
 #: Id that ends a document.
@@ -83,6 +83,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def _prepared(query):
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack, op13_collocations)
+    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack, op12_best_fit_pack, op13_collocations)
     return {f.__name__: _prepared(f) for f in found}
 
 
