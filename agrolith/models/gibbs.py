@@ -6,6 +6,7 @@ Chains and folds run as tasks of their own; a chain is sequential and works on a
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -52,12 +53,12 @@ class Fit:
 
 
 def roles(name: str) -> str:
-    """E, G or GE by a kernel's name; interactions are looked for first."""
+    """E, G or GE by a kernel's name; interactions are looked for first, and only their letters must be capital."""
     if "GE" in name:
         return "GE"
-    if re.search(r"^KE_|E|env", name):
+    if re.search(r"^KE_|^E$|env", name, re.IGNORECASE):
         return "E"
-    if re.search(r"^KG_|G|gid|geno", name):
+    if re.search(r"^KG_|^G$|gid|geno", name, re.IGNORECASE):
         return "G"
     return "other"
 
@@ -85,7 +86,7 @@ def sample(y: np.ndarray, ks: KernelSet, x: np.ndarray | None = None, how: Sampl
     var_e, var, tau = total, {k: 0.2 for k in names}, 0.01
     u = {k: rng.normal(0, np.sqrt(1 / (2 * n)), n) for k in names}
     beta, resid = np.zeros(x.shape[1]), y - mu - sum(u.values())
-    saved, chains = [], {k: [] for k in names}
+    saved, betas, chains = [], [], {k: [] for k in names}
     for it in range(1, how.iterations + 1):
         resid += mu
         mu = rng.normal(resid.mean(), np.sqrt(var_e / n))
@@ -113,6 +114,7 @@ def sample(y: np.ndarray, ks: KernelSet, x: np.ndarray | None = None, how: Sampl
             resid[lost] = y[lost] - fitted
         if it > how.burnin and it % how.thin == 0:
             saved.append({"iteration": it, "mu": mu, "residual": var_e, **{f"var_{k}": var[k] for k in names}})
+            betas.append(beta.copy())
             for k in names:
                 chains[k].append(u[k].copy())
     draws = pd.DataFrame(saved)
@@ -120,6 +122,7 @@ def sample(y: np.ndarray, ks: KernelSet, x: np.ndarray | None = None, how: Sampl
     effects = {k: c.mean(axis=0) for k, c in stacked.items()}
     observed = np.asarray(y, float).copy()
     observed[lost] = np.nan
+    beta = np.mean(betas, axis=0)
     yhat = draws["mu"].mean() + x @ beta + sum(effects.values())
     return Fit(ks.obs, observed, float(draws["mu"].mean()), beta, effects, yhat, {k: float(draws[f"var_{k}"].mean()) for k in names}, float(draws["residual"].mean()), draws, stacked if how.keep_chains else {})
 
@@ -132,20 +135,33 @@ def kernel_model(y, data: pd.DataFrame, random: KernelSet, fixed: np.ndarray | N
 def varcomp_summary(fit: Fit, method: str = "postmean") -> pd.DataFrame:
     """Variances of G, E, GE and residual, entry-mean and plot heritability, and the genetic correlation over environments.
 
-    ``postmean`` takes the variance of posterior mean effects, and as residual what they leave; ``gibbs`` the sampled means.
+    ``postmean`` takes the variance of a role's posterior mean effects, summed over its kernels; ``gibbs`` the mean of the sampled variance of
+    its first kernel. The residual is what they leave of the phenotypes' variance; where that is negative it warns and takes a small value.
     """
     parts = {"G": 0.0, "E": 0.0, "GE": 0.0}
-    for k, u in fit.effects.items():
-        role = roles(k)
-        if role in parts:
-            parts[role] += float(np.var(u, ddof=1)) if method == "postmean" else fit.variances[k]
+    for role in parts:
+        own = [k for k in fit.effects if roles(k) == role]
+        if own:
+            parts[role] = float(np.var(sum(fit.effects[k] for k in own), ddof=1)) if method == "postmean" else fit.variances[own[0]]
     total = float(np.nanvar(fit.y, ddof=1))
-    resid = max(total - sum(parts.values()), max(1e-6 * total, 1e-8)) if method == "postmean" else fit.residual
+    resid = total - sum(parts.values())
+    if resid < 0:
+        warnings.warn(f"the components exceed the phenotypes' variance by {-resid:.4g}: the residual is set to a small value", stacklevel=2)
+        resid = max(1e-6 * total, 1e-8)
     p, q = fit.data["gid"].nunique(), fit.data["env"].nunique()
     g, e, ge = parts["G"], parts["E"], parts["GE"]
     return pd.DataFrame([{"var_G": g, "var_E": e, "var_GE": ge, "var_resid": resid, "h2_entry": g / (g + e / q + ge / (p * q) + resid), "h2_plot": g / (g + ge + resid), "rg": g / (g + ge) if g + ge > 0 else np.nan, "few_environments": q < 20}])
 
 
+def prediction_intervals(fit: Fit, x: np.ndarray | None = None, level: float = 0.95) -> pd.DataFrame:
+    """(env, gid, yhat, lower, upper): quantiles of the saved draws of mean and kernel effects, with the fixed effects' mean."""
+    if not fit.chains:
+        raise ValueError("intervals need the chains: fit with keep_chains")
+    draws = sum(fit.chains.values()) + fit.draws["mu"].to_numpy()[:, None] + (0.0 if x is None else x @ fit.beta)
+    lower, upper = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2], axis=0)
+    return fit.data[["env", "gid"]].assign(yhat=fit.yhat, lower=lower, upper=upper)
+
+
 def variance_intervals(value: float, df: float, level: float = 0.95) -> tuple[float, float]:
     """Chi-squared interval of a variance."""
     a = (1 - level) / 2

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.models import clustering, gibbs, kernelset, scan, simulate, stats
+from agrolith.models import clustering, components, gibbs, kernelset, scan, simulate, stats
 
 
 def _grid(g=4, e=3, seed=2):
@@ -195,3 +195,61 @@ def test_large_grid_of_low_rank_stays_small():
     at = rng.integers(0, 18_000, 50)
     assert np.allclose((found.u[at] * found.s) @ found.u[at].T, kg[np.ix_(ig[at], ig[at])] * ke[np.ix_(ie[at], ie[at])])
     assert kernelset.kronecker_spectrum(kg, ke, ig, ie, 1e-6, 0.5).u.shape[1] < 15
+
+
+def test_roles_by_name():
+    assert [gibbs.roles(k) for k in ("KG_TREE", "KE_W", "ke_w", "E", "KGE_GW", "environment", "geno", "other", "TREE")] == ["G", "E", "E", "E", "GE", "E", "G", "other", "other"]
+
+
+def test_fixed_effects_are_averaged_over_draws():
+    """With a strong fixed effect two seeds agree to Monte Carlo error: the last draws differ by far more."""
+    data, kg, ke = _grid(20, 6)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(len(data), 1))
+    y = 5 * x[:, 0] + rng.normal(size=len(data))
+    ks = kernelset.get_kernel(data, kernelset_g(20), ke, "MM")
+    a, b = (gibbs.sample(y, ks, x, gibbs.Sampling(2000, 200, 2, seed=s)) for s in (1, 2))
+    assert abs(a.beta[0] - b.beta[0]) < 0.03 and abs(a.beta[0] - 5) < 0.4
+    assert np.abs(a.yhat - b.yhat).mean() < 0.1
+
+
+def kernelset_g(n):
+    names = [f"G{i + 1}" for i in range(n)]
+    return pd.DataFrame(np.eye(n) + 0.2, names, names)
+
+
+def test_components_by_role():
+    data, kg, ke = _grid()
+    rng = np.random.default_rng(3)
+    u = {k: rng.normal(size=len(data)) for k in ("KG_A", "KG_TREE", "KE_W", "KGE_AW")}
+    y = 9 * rng.normal(size=len(data))
+    fit = gibbs.Fit(data, y, 0.0, np.zeros(0), u, y, {"KG_A": 0.5, "KG_TREE": 0.7, "KE_W": 0.2, "KGE_AW": 0.1}, 0.9, pd.DataFrame())
+    one = gibbs.varcomp_summary(fit).iloc[0]
+    assert np.isclose(one["var_G"], np.var(u["KG_A"] + u["KG_TREE"], ddof=1))
+    assert np.isclose(one["var_resid"], np.var(y, ddof=1) - one[["var_G", "var_E", "var_GE"]].sum())
+    other = gibbs.varcomp_summary(fit, "gibbs").iloc[0]
+    assert other["var_G"] == 0.5 and np.isclose(other["var_resid"], np.var(y, ddof=1) - 0.8)
+    with pytest.warns(UserWarning, match="exceed"):
+        small = gibbs.varcomp_summary(gibbs.Fit(data, y / 100, 0.0, np.zeros(0), u, y, {}, 0.9, pd.DataFrame())).iloc[0]
+    assert small["var_resid"] == max(1e-6 * np.var(y / 100, ddof=1), 1e-8)
+
+
+def test_components_from_draws_equal_the_fit(spark):
+    data, kg, ke = _grid(8, 5)
+    data["value"] += np.random.default_rng(1).normal(size=len(data))
+    fit = gibbs.kernel_model("value", data, kernelset.get_kernel(data, kernelset_g(8), ke, "MDs"), how=gibbs.Sampling(300, 50, 5))
+    rows = pd.concat([data[["env", "gid"]].assign(kernel=k, draw=i, value=u) for k, c in fit.chains.items() for i, u in enumerate(c)])
+    draws = spark.createDataFrame(rows[["kernel", "draw", "env", "gid", "value"]])
+    ours, want = components.variance_components(draws, spark.createDataFrame(data)).toPandas().iloc[0], gibbs.varcomp_summary(fit).iloc[0]
+    for c in want.index:
+        assert np.isclose(np.nan_to_num(float(ours[c])), float(want[c])), c  # the fit has 0 where a role has no kernel
+    means = spark.createDataFrame(fit.draws[["mu"]].reset_index(names="draw"))
+    got = components.prediction_intervals(draws, means).toPandas().merge(gibbs.prediction_intervals(fit), on=["env", "gid"])
+    assert len(got) == len(data) and np.allclose(got["lower_x"], got["lower_y"]) and np.allclose(got["upper_x"], got["upper_y"])
+
+
+def test_components_of_nothing(spark):
+    draws = spark.createDataFrame([], "kernel string, draw long, env string, gid string, value double")
+    one = components.variance_components(draws, spark.createDataFrame([("E1", "G1", None)], "env string, gid string, value double")).first()
+    assert one["var_G"] is None and one["var_total"] is None and one["p"] == 1
+    assert components.prediction_intervals(draws, spark.createDataFrame([], "draw long, mu double")).collect() == []
