@@ -12,6 +12,8 @@ the other bits, and a query also looks up what comes of flipping the ``flips`` l
 of what differs by up to ``max_error`` is found: tests measure the share against brute force. Recordings of up to two windows
 are looked up, and look up, by their integers as they are, where one equal integer makes a candidate.
 
+A key in very many recordings is looked up in parts of bounded size, all of them.
+
 Of equal keys in a row only the first and the last are kept, so a hum has few.
 
 Defined results: null, empty, silent or too short recordings have a fingerprint without integers and match nothing, and
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.llm.common import bounded_batches, checkpoint
+from agrolith.llm.mixing import few
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,8 @@ class Settings:
     #: Least certain signs of an integer that a query flips.
     flips: int = 3
     min_overlap: float = 0.5
+    #: Postings of a key that one task may hold; those of more frequent keys are dealt over several.
+    dealt: int = 256
 
 
 def wav(samples: np.ndarray, rate: int) -> bytes:
@@ -248,6 +253,17 @@ def _aligned(settings: Settings):
     return run
 
 
+def _met(asked: DataFrame, post: DataFrame, most: int) -> DataFrame:
+    """Queries' keys beside the postings of equal keys. A key with more postings than ``most`` (a jingle in many recordings) has
+    them dealt over as many parts as that takes, and a query's key goes to each: no task holds all of them."""
+    post = checkpoint(post)
+    counts = post.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = few(counts.select("item", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    post = post.join(hot, "item", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "at"), F.col("parts")).cast("int"))).drop("parts")
+    asked = asked.join(hot, "item", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return asked.join(post, ["item", "part"])
+
+
 def search(prints: DataFrame, id_col: str, is_query: Column, settings: Settings = Settings()) -> DataFrame:
     """id_col, n_items, class_id and, for classes that hold a query, the other classes that align with it.
 
@@ -265,7 +281,7 @@ def search(prints: DataFrame, id_col: str, is_query: Column, settings: Settings
     asked = own.where("asked").select("node", "items", "weak").mapInArrow(_postings(lambda x, w: asked_keys(x, w, gap, flips, singles)), _POSTING)
     asked = asked.select(F.col("node").alias("q"), "item", F.col("at").alias("q_at"))
     enough = F.count("*") >= F.min(F.when(F.col("item") >= _ALL, 1).otherwise(settings.min_hits))
-    hits = asked.join(post, "item").where("q <> node").groupBy("q", "node", (F.col("at") - F.col("q_at")).alias("shift")).agg(enough.alias("enough")).where("enough")
+    hits = _met(asked, post, settings.dealt).where("q <> node").groupBy("q", "node", (F.col("at") - F.col("q_at")).alias("shift")).agg(enough.alias("enough")).where("enough")
     near = hits.groupBy("q", "node").agg(F.collect_list("shift").alias("shifts"))  # at most as many as there are offsets of two recordings
     pairs = near.join(kept.select(F.col("node").alias("q"), F.col("items").alias("q_items")), "q").join(kept.select("node", "items"), "node").select("q", "node", "shifts", "q_items", "items")
     found = pairs.mapInArrow(_aligned(settings), "query long, found long, shift int, bit_error double")
@@ -277,19 +293,39 @@ def search(prints: DataFrame, id_col: str, is_query: Column, settings: Settings
     return out.select(F.col("id").alias(id_col), (F.length("items") / 4).cast("long").alias("n_items"), "class_id", F.when(F.col("is_query"), F.coalesce("found", empty)).alias("matches"))
 
 
-def tones(df: DataFrame, id_col: str, vector_col: str, rate: int = 4000, note_s: float = 0.125) -> DataFrame:
-    """id_col and audio: a recording for each vector of numbers, one note an element. For tests and tables without media."""
+def with_copies(df: DataFrame, id_col: str, vector_col: str, every: int = 4) -> DataFrame:
+    """id_col, vector_col, noise and copy_of: all vectors, and of each whose id ``every`` divides a copy by a stated rule.
+
+    The copy of id i has id -(i + 1), lacks the first 4 + i % 8 and the last 4 elements, and is to be played under noise of
+    0.05 (1 + i / every % 6). Rows without an id have no copy.
+    """
+    i = F.col(id_col).cast("long")
+    rows = df.select(i.alias(id_col), vector_col, F.lit(0.0).alias("noise"), F.lit(None).cast("long").alias("copy_of"))
+    first = 5 + F.pmod(i, F.lit(8)).cast("int")
+    cut = F.slice(vector_col, first, F.greatest(F.size(vector_col) - 4 - first + 1, F.lit(0)))
+    copies = df.where(i % every == 0).select((-(i + 1)).alias(id_col), cut.alias(vector_col), (0.05 * (1 + F.pmod(F.floor(i / every), F.lit(6)))).cast("double").alias("noise"), i.alias("copy_of"))
+    return rows.unionByName(copies)
+
+
+def tones(df: DataFrame, id_col: str, vector_col: str, noise_col: str | None = None, rate: int = 4000, note_s: float = 0.125) -> DataFrame:
+    """id_col and audio: a recording for each vector of numbers, one note an element. For tests and tables without media.
+
+    Noise is as loud as its column says, and the same whenever a row is played again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, vectors, noise = (batch.column(k).to_pylist() for k in range(3))
             for first in range(0, len(ids), 64):
                 own = []
-                for v in vectors[first : first + 64]:
+                for i, v, loud in zip(ids[first : first + 64], vectors[first : first + 64], noise[first : first + 64], strict=True):
                     x = np.nan_to_num(np.array([0.0 if e is None else e for e in v or []], float))
                     hz = 220.0 * 2 ** (np.floor(18 * np.tanh(4 * x)) / 12)
-                    phase = np.cumsum(np.repeat(2 * np.pi * hz / rate, int(note_s * rate)))
-                    own.append(wav(0.5 * np.sin(phase), rate) if len(x) else None)
+                    played = 0.5 * np.sin(np.cumsum(np.repeat(2 * np.pi * hz / rate, int(note_s * rate))))
+                    if loud:
+                        played += loud * np.random.default_rng(abs(i or 0)).normal(size=len(played))
+                    own.append(wav(played, rate) if len(x) else None)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + 64], pa.int64()), pa.array(own, pa.binary())], [id_col, "audio"])
 
-    return df.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, f"{id_col} long, audio binary")
+    noise = F.col(noise_col).cast("double") if noise_col else F.lit(0.0)
+    return df.select(F.col(id_col).cast("long"), vector_col, noise).mapInArrow(run, f"{id_col} long, audio binary")

@@ -24,8 +24,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of ``embeddings`` stand for recordings: no table holds media."""
-    recordings = audio.tones(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """Vectors of ``embeddings`` stand for recordings, as no table holds media: each is played as a melody, and of every fourth there is
+    a copy that starts later, ends earlier and is noisy (``audio.with_copies``). Copies have negative ids.
+    """
+    rows = audio.with_copies(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    recordings = audio.tones(rows, "vec_id", "embedding", "noise")
     return audio.search(audio.fingerprints(recordings, "vec_id", "audio"), "vec_id", F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
 

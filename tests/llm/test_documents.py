@@ -202,10 +202,46 @@ def test_integral_image_equals_direct_sums():
         assert packed == got[t]
 
 
-def test_audio_query(spark, sf):
-    out = queries.op2_chroma_fingerprints(spark, sf)
-    assert out.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
-    assert out.where("vec_id % 20 = 0 AND matches IS NULL").count() == 0
+def _aligned(a, b, s):
+    """Whether brute force over all offsets aligns two recordings."""
+    for o in range(-len(a), len(b)):
+        first, last = max(0, -o), min(len(a), len(b) - o)
+        if last > first and last - first >= s.min_overlap * min(len(a), len(b)) and np.bitwise_count(a[first:last] ^ b[first + o : last + o]).mean() / 32 <= s.max_error:
+            return True
+    return False
+
+
+def test_audio_query_finds_its_copies(spark, sf):
+    out = queries.op2_chroma_fingerprints(spark, sf).collect()
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    ids = {r["vec_id"] for r in vectors.select("vec_id").collect()}
+    copies = {-(i + 1) for i in ids if i % 4 == 0}
+    assert {r["vec_id"] for r in out} == ids | copies and len(out) == len(ids) + len(copies)
+    asked = {r["vec_id"]: r["matches"] for r in out if r["vec_id"] % 20 == 0}
+    assert all(m is not None for m in asked.values()) and all(r["matches"] is None for r in out if r["vec_id"] % 20)
+    got = {(q, m["match"]) for q, own in asked.items() for m in own}
+    prints = audio.fingerprints(audio.tones(audio.with_copies(vectors, "vec_id", "embedding"), "vec_id", "embedding", "noise"), "vec_id", "audio").collect()
+    items, s = {r["vec_id"]: np.frombuffer(r["items"], "<u4") for r in prints}, audio.Settings()
+    want = {(q, c) for q in asked for c in items if c != q and _aligned(items[q], items[c], s)}
+    planted = {(q, -(q + 1)) for q in asked}
+    print("brute force", len(want), "found", len(got & want), "planted", len(planted & got), "of", len(planted))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 20
+    assert len(planted & got) >= 0.9 * len(planted & want) > 0
+
+
+def test_frequent_keys_are_dealt_in_parts(spark):
+    """A jingle in every recording: as many parts as its postings take, and the same matches."""
+    rng, rows = np.random.default_rng(1), []
+    jingle = rng.integers(0, 1 << 32, 60, np.uint32)
+    for i in range(60):
+        own = rng.integers(0, 1 << 32, 40, np.uint32)
+        rows.append((i, np.concatenate([own[: i % 17], jingle, own[i % 17 :]]).astype("<u4").tobytes()))
+    prints = spark.createDataFrame(rows, "id long, items binary")
+    out = [sorted(tuple(m) for r in audio.search(prints, "id", F.col("id") % 20 == 0, audio.Settings(dealt=d)).collect() for m in r["matches"] or []) for d in (256, 7)]
+    assert out[0] == out[1] and len(out[0]) == 3 * 59
+    post = spark.range(1000).selectExpr("id as node", "id % 2 * 5 as item", "cast(id as int) as at")
+    met = audio._met(spark.range(3).selectExpr("id as q", "id as item", "0 as q_at"), post, 50)
+    assert met.count() == 500 and met.groupBy("item", "part").count().agg(F.max("count")).first()[0] < 100
 
 
 # ---- personal data ---------------------------------------------------------------------------------------------------
