@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from agrolith.llm.common import bounded_batches, drop_caches, trimmed
+from agrolith.llm.mixing import few
 
 
 @dataclass(frozen=True)
@@ -341,14 +342,14 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, item_col: str =
     index, n_docs = spark.read.parquet(f"{folder}/index"), spark.read.parquet(f"{folder}/sums").first()["docs"]
     asked = queries.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(_terms, "item_id long, term string").distinct()
     held = index.where("term is not null")
-    df = held.select("term", "df").join(asked.select("term").distinct(), "term").groupBy("term").agg(weight(F.sum("df"), F.lit(n_docs)).alias("weight"))
+    df = held.select("term", "df").join(few(asked.select("term").distinct(), 100_000), "term").groupBy("term").agg(weight(F.sum("df"), F.lit(n_docs)).alias("weight"))
     items = asked.select("item_id").distinct().withColumn("hashed", F.xxhash64("item_id"))
     blocks = F.floor(F.lit(items.count()) / settings.queries).cast("long") + 1
     items = items.withColumn("asked_block", F.pmod("hashed", blocks)).withColumn("item", F.row_number().over(Window.partitionBy("asked_block").orderBy("hashed", "item_id")))
     items = items.select("item_id", "asked_block", "item")
     known = asked.join(items, asked["item_id"].eqNullSafe(items["item_id"])).join(df, "term")
     known = known.groupBy("term", "asked_block").agg(F.first("weight").alias("weight"), F.collect_list("item").alias("asked"))  # at most as many as a block has queries
-    rows = held.join(known, "term").select("asked_block", "segment", "df", "heads", "bits", "weight", "asked")
+    rows = held.join(few(known, 100_000), "term").select("asked_block", "segment", "df", "heads", "bits", "weight", "asked")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(n, "asked_block", "segment").sortWithinPartitions("asked_block", "segment").mapInArrow(_searcher(settings), _FOUND)
     docs = index.where("term is null").select("segment", "number", "doc_id")
