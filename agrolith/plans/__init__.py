@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agrolith.plans import draws, models, more, phenology, weather
+from agrolith.plans import draws, feeds, models, more, phenology, weather
 
-MODULES = (weather, phenology, models, more, draws)
+MODULES = (weather, phenology, models, more, draws, feeds)
 
 
 def queries() -> dict:
