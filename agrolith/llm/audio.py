@@ -8,7 +8,7 @@ Recordings with equal fingerprints form a class, and search works on classes, by
 repeated. Queries meet the others where keys are equal; a histogram of the differences of their positions shows the offsets
 at which two recordings may align, and the share of differing bits over the overlap confirms one, where it is at most
 ``max_error``. A key is made of the signs in two integers a window apart, which share no frame. Signs differ less often than
-the other bits, and a query also looks up what comes of flipping the ``flips`` least certain signs of either integer. So most
+the other bits, and of the integers' other bits few may differ; a query also looks up what comes of flipping the ``flips`` least certain signs of either integer. So most
 of what differs by up to ``max_error`` is found: tests measure the share against brute force. Recordings of up to two windows
 are looked up, and look up, by their integers as they are, where one equal integer makes a candidate.
 
@@ -47,8 +47,9 @@ class Settings:
     #: A filter's window in frames.
     window: int = 16
     max_error: float = 0.25
-    #: Equal keys at the same offset that make a candidate.
+    #: Equal keys at the same offset that make a candidate; a pair of integers with more differing bits than this (of 64) is no hit.
     min_hits: int = 2
+    hit_bits: int = 11
     #: Least certain signs of an integer that a query flips.
     flips: int = 3
     min_overlap: float = 0.5
@@ -168,7 +169,7 @@ def fingerprints(df: DataFrame, id_col: str, audio_col: str, settings: Settings
     return df.select(F.col(id_col).cast("long"), audio_col).mapInArrow(run, f"{id_col} long, items binary, weak binary")
 
 
-_POSTING = "node long, item long, at int"
+_POSTING = "node long, item long, at int, bits long"
 #: Key spaces: signs of two integers; single integers of all recordings; those of short ones.
 _PAIRS, _ALL, _SHORT = 0, 1 << 33, 2 << 33
 
@@ -187,48 +188,57 @@ def _variants(x: np.ndarray, weak: np.ndarray, flips: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def stored_keys(x: np.ndarray, gap: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions) by which a recording is found."""
+def _both(x: np.ndarray, at: np.ndarray, gap: int) -> np.ndarray:
+    """The two integers of a key, whole."""
+    return (x[at].astype(np.int64) << 32) | x[at + gap].astype(np.int64)
+
+
+def stored_keys(x: np.ndarray, gap: int, singles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions, integers) by which a recording is found."""
     pair = signs(x[:-gap]).astype(np.int64) << 16 | signs(x[gap:]) if len(x) > gap else np.zeros(0, np.int64)
     at = _ends(pair)
-    keys, places = [pair[at] | _PAIRS], [at]
+    keys, places, whole = [pair[at] | _PAIRS], [at], [_both(x, at, gap)]
     if singles:
         one = x.astype(np.int64)
         own = _ends(one)
         for space in (_ALL, _SHORT) if len(x) <= 2 * gap else (_ALL,):
             keys.append(one[own] | space)
             places.append(own)
-    return np.concatenate(keys), np.concatenate(places).astype(np.int32)
+            whole.append(np.zeros(len(own), np.int64))  # equal keys are equal integers
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(whole)
 
 
-def asked_keys(x: np.ndarray, weak: np.ndarray, gap: int, flips: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions) that a query looks up."""
-    keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def asked_keys(x: np.ndarray, weak: np.ndarray, gap: int, flips: int, singles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions, integers) that a query looks up."""
+    keys, places, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(x) > gap:
         pair = signs(x[:-gap]).astype(np.int64) << 16 | signs(x[gap:])
         at = _ends(pair)
         first, second = _variants(x[at], weak[at], flips), _variants(x[at + gap], weak[at + gap], flips)
         keys.append((first[:, :, None] << 16 | second[:, None, :] | _PAIRS).ravel())
         places.append(np.repeat(at, first.shape[1] ** 2))
+        whole.append(np.repeat(_both(x, at, gap), first.shape[1] ** 2))
     if singles:
         one = x.astype(np.int64)
         own = _ends(one)
         keys.append(one[own] | (_ALL if len(x) <= 2 * gap else _SHORT))
         places.append(own)
-    return np.concatenate(keys), np.concatenate(places).astype(np.int32)
+        whole.append(np.zeros(len(own), np.int64))
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(whole)
 
 
 def _postings(keys_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, 1 << 16):
-            nodes, keys, places = [], [], []
+            nodes, keys, places, whole = [], [], [], []
             for node, data, weak in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 x = np.frombuffer(data, "<u4")
-                key, at = keys_of(x, np.frombuffer(weak, "<u2") if weak else np.zeros(len(x), np.uint16))
+                key, at, bits = keys_of(x, np.frombuffer(weak, "<u2") if weak else np.zeros(len(x), np.uint16))
                 nodes.append(np.full(len(key), node, np.int64))
                 keys.append(key)
                 places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, places)], ["node", "item", "at"])
+                whole.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, places, whole)], ["node", "item", "at", "bits"])
 
     return run
 
@@ -279,9 +289,10 @@ def search(prints: DataFrame, id_col: str, is_query: Column, settings: Settings
     singles = not own.where((F.length("items") > 0) & (F.length("items") <= 8 * gap)).isEmpty()
     post = kept.mapInArrow(_postings(lambda x, _: stored_keys(x, gap, singles)), _POSTING)
     asked = own.where("asked").select("node", "items", "weak").mapInArrow(_postings(lambda x, w: asked_keys(x, w, gap, flips, singles)), _POSTING)
-    asked = asked.select(F.col("node").alias("q"), "item", F.col("at").alias("q_at"))
+    asked = asked.select(F.col("node").alias("q"), "item", F.col("at").alias("q_at"), F.col("bits").alias("q_bits"))
     enough = F.count("*") >= F.min(F.when(F.col("item") >= _ALL, 1).otherwise(settings.min_hits))
-    hits = _met(asked, post, settings.dealt).where("q <> node").groupBy("q", "node", (F.col("at") - F.col("q_at")).alias("shift")).agg(enough.alias("enough")).where("enough")
+    alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("q_bits"))) <= settings.hit_bits
+    hits = _met(asked, post, settings.dealt).where(F.col("q") != F.col("node")).where(alike).groupBy("q", "node", (F.col("at") - F.col("q_at")).alias("shift")).agg(enough.alias("enough")).where("enough")
     near = hits.groupBy("q", "node").agg(F.collect_list("shift").alias("shifts"))  # at most as many as there are offsets of two recordings
     pairs = near.join(kept.select(F.col("node").alias("q"), F.col("items").alias("q_items")), "q").join(kept.select("node", "items"), "node").select("q", "node", "shifts", "q_items", "items")
     found = pairs.mapInArrow(_aligned(settings), "query long, found long, shift int, bit_error double")
