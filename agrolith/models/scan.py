@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agrolith.constants import POSITIONS
 from agrolith.models.gibbs import Fit, roles, varcomp_summary
+from agrolith.operators import shapes
 from agrolith.operators.covariables import even_positions
 from agrolith.operators.kernels import to_matrix
 from agrolith.session import shared_folder
@@ -208,8 +209,15 @@ def which_won_where(spatial: DataFrame, threshold: float = 0.25) -> DataFrame:
     return best.join(often, "env", "left").withColumn("winners", F.coalesce("winners", "gid"))
 
 
-def map_scan(spatial: DataFrame, kind: str = "performance", by: str = "gid", threshold: float = 0.25) -> DataFrame:
-    """The data of a map: performance by genotype or mean, coverage (one row a site), or which genotype won where."""
+def map_scan(spatial: DataFrame, kind: str = "performance", by: str = "gid", threshold: float = 0.25, clip: DataFrame | None = None, cell: float = 1.0) -> DataFrame:
+    """The data of a map: performance by genotype or mean, coverage (one row a site), or which genotype won where.
+
+    ``clip`` is a table of polygons (see ``operators.shapes``): sites outside all of them go, and it is an error if none is left.
+    """
+    if clip is not None:
+        spatial = shapes.clipped(spatial, clip, cell)
+        if spatial.isEmpty():
+            raise ValueError("no site lies inside the polygons: do both use degrees?")
     if kind == "which_won_where":
         return which_won_where(spatial, threshold)
     if kind == "coverage":

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.operators.tiles import dominance
+
 
 def pseudo_observations(w: DataFrame, ties: str = "average") -> DataFrame:
     """Ranks over environments divided by one more than their number.
@@ -24,10 +26,7 @@ def pseudo_observations(w: DataFrame, ties: str = "average") -> DataFrame:
 
 def _dominance(u: DataFrame, below: bool) -> DataFrame:
     """(block, env, value): share of environments that lie on the same side in all covariables of a block."""
-    a, b = u, u.select("block", "covariable", F.col("env").alias("other"), F.col("value").alias("v"))
-    within = (F.col("v") <= F.col("value")) if below else (F.col("v") >= F.col("value"))
-    pairs = a.join(b, ["block", "covariable"]).groupBy("block", "env", "other").agg(F.min(within.cast("int")).alias("all"))
-    return pairs.groupBy("block", "env").agg((F.sum("all") / (F.count("*") + 1)).alias("value"))
+    return dominance(u, "block", below).select(F.col("key").alias("block"), F.col("row").alias("env"), (F.col("on_side") / (F.col("met") + 1)).alias("value"))
 
 
 def env_copula(w: DataFrame, index: str = "pobs", groups: Mapping[str, str] | None = None, ties: str = "average") -> DataFrame:

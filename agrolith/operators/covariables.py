@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.operators import tiles
 from agrolith.operators.summary import summarize_weather
 
 
@@ -78,9 +79,13 @@ def moments(w: DataFrame) -> DataFrame:
 
 def correlations(w: DataFrame) -> DataFrame:
     """(i, j, r) for pairs i < j of covariables with a finite correlation, over shared environments."""
-    a, b = (w.select("env", F.col("covariable").alias(c), F.col("value").alias(f"v{c}")) for c in "ij")
-    r = a.join(b, "env").where("i < j").groupBy("i", "j").agg(F.corr("vi", "vj").alias("r"))
-    return r.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    spread = w.groupBy("covariable").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")).where("_sd > 0")
+    z = w.join(spread, "covariable").select("env", "covariable", ((F.col("value") - F.col("_mean")) / F.col("_sd")).alias("value"))
+    m = tiles.moments(z, "covariable", "env").where("i < j")
+    n, var = F.col("n"), lambda s: F.col("n") * F.col(2 * s) - F.col(s) * F.col(s)
+    varies = (var("x") > 1e-12 * n * n) & (var("y") > 1e-12 * n * n)
+    r = F.when(varies, F.greatest(F.least((n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(var("x") * var("y")), F.lit(1.0)), F.lit(-1.0)))
+    return m.select("i", "j", r.alias("r")).where("r IS NOT NULL")
 
 
 def diagnose(w: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

@@ -11,25 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.operators.ranks import exact_quantiles
+from agrolith.operators.tiles import moments
+from agrolith.session import checkpointed
 
 
-def _pairs(w: DataFrame) -> DataFrame:
-    a, b = (w.select(F.col("env").alias(c), "covariable", F.col("value").alias(f"v{c}")) for c in "ij")
-    return a.join(b, "covariable")
+def _products(w: DataFrame) -> DataFrame:
+    """(i, j, own_i, own_j, value): inner products over the covariables that both have."""
+    return moments(w).select("i", "j", "own_i", "own_j", F.when(F.col("n") > 0, F.col("xy")).alias("value"))
 
 
 def linear_kernel(w: DataFrame) -> DataFrame:
     """W W' over the mean of its diagonal."""
-    products = _pairs(w).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
     mean = w.where("value IS NOT NULL").groupBy("env").agg(F.sum(F.col("value") * F.col("value")).alias("own")).agg(F.avg("own").alias("mean"))
-    return products.crossJoin(F.broadcast(mean)).select("i", "j", (F.col("value") / F.col("mean")).alias("value"))  # one row
+    return _products(w).crossJoin(F.broadcast(mean)).select("i", "j", (F.col("value") / F.col("mean")).alias("value"))  # one row
 
 
 def gaussian_kernel(w: DataFrame, h: float = 1.0) -> DataFrame:
     """exp(-h d^2 / q) with q the median of all squared distances, those of environments to themselves included; where
     that is 0 their 5 % quantile, and else 1.
     """
-    squared = _pairs(w).groupBy("i", "j").agg(F.sum(F.pow(F.col("vi") - F.col("vj"), F.lit(2.0))).alias("d2"))
+    apart = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.greatest(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(0.0)))
+    squared = checkpointed(moments(w).select("i", "j", F.when(F.col("n") > 0, apart).alias("d2")))
     low, middle = exact_quantiles(squared, ["d2"], (0.05, 0.5))["d2"] or (0.0, 0.0)
     q = middle if middle > 0 else low if low > 0 else 1.0
     return squared.select("i", "j", F.exp(-h * F.col("d2") / q).alias("value"))
@@ -42,13 +44,11 @@ def _arc(product, a, b):
 
 
 def arc_cosine_kernel(w: DataFrame, layers: int = 1) -> DataFrame:
-    """Arc-cosine kernel of the first order, applied again for each further layer with the diagonal of the one before."""
-    k = _pairs(w).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
+    """Arc-cosine kernel of the first order, applied again for each further layer. A layer leaves the diagonal as it is."""
+    k = _products(w)
     for _ in range(layers):
-        diagonal = k.where("i = j").select(F.col("i").alias("e"), F.col("value").alias("s"))
-        left, right = diagonal.select(F.col("e").alias("i"), F.col("s").alias("si")), diagonal.select(F.col("e").alias("j"), F.col("s").alias("sj"))
-        k = k.join(left, "i").join(right, "j").select("i", "j", _arc(F.col("value"), F.col("si"), F.col("sj")).alias("value"))
-    return k
+        k = k.withColumn("value", _arc(F.col("value"), F.col("own_i"), F.col("own_j")))
+    return k.select("i", "j", "value")
 
 
 def _rounded(k: DataFrame, digits: int | None) -> DataFrame:

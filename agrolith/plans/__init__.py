@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agrolith.plans import draws, feeds, models, more, phenology, weather
+from agrolith.plans import draws, feeds, models, more, phenology, places, weather
 
-MODULES = (weather, phenology, models, more, draws, feeds)
+MODULES = (weather, phenology, models, more, draws, feeds, places)
 
 
 def queries() -> dict:
