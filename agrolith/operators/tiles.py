@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agrolith.session import checkpointed
+
 
 @dataclass
 class Block:
@@ -54,9 +56,10 @@ class Block:
 
 def paired(w: DataFrame, row: str, column: str, width: int = 256, depth: int = 512, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., a, b, block, first, cells): blocks of tiles by pairs a <= b of them; ``first`` says whether it is that of a. Sorted for ``streamed``."""
-    n_rows, n_columns = w.agg(F.approx_count_distinct(row), F.approx_count_distinct(column)).first()
-    tiles, blocks = max(1, -(-n_rows // width)), max(1, -(-n_columns // depth))
     cells = w.where(F.col(row).isNotNull() & F.col(column).isNotNull()).select(*keys, F.col(row).cast("string").alias("row"), F.col(column).cast("string").alias("column"), F.col("value").cast("double").alias("value"))
+    cells = checkpointed(cells)  # what it takes to make them is done once
+    n_rows, n_columns = cells.agg(F.approx_count_distinct("row"), F.approx_count_distinct("column")).first()
+    tiles, blocks = max(1, -(-n_rows // width)), max(1, -(-n_columns // depth))
     dealt = cells.withColumns({"tile": F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int"), "block": F.pmod(F.xxhash64("column"), F.lit(blocks)).cast("int")})
     packed = dealt.groupBy(*keys, "tile", "block").agg(F.collect_list(F.struct("row", "column", "value")).alias("cells"))  # width times depth of them
     other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
