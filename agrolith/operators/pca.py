@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.models.stats import adjusted, correlation_p
 from agrolith.operators.covariables import correlations, even_positions
 from agrolith.operators.kernels import to_matrix
+from agrolith.operators.tiles import moments
+from agrolith.session import checkpointed
 
 
 @dataclass
@@ -25,30 +27,55 @@ class Pca:
     variance: DataFrame
 
 
-def _long(spark: SparkSession, m: np.ndarray, names: Sequence[str], key: str) -> DataFrame:
-    rows = [(n, f"PC{j + 1}", float(m[i, j])) for i, n in enumerate(names) for j in range(m.shape[1])]
-    return spark.createDataFrame(rows, f"{key} string, PC string, value double")
+#: Most rows of the smaller side: its square reaches the driver.
+MAX_SIDE = 4096
+
+
+def _standard(w: DataFrame, center: bool, scale: bool, drop_constant: bool) -> DataFrame:
+    """(env, covariable, value), centred and scaled by covariable; those that don't vary are left out."""
+    spread = w.groupBy("covariable").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+    spread = spread.where("_sd > 1e-12 AND _sd < double('infinity')") if drop_constant else spread
+    value = F.col("value") - (F.col("_mean") if center else F.lit(0.0))
+    return w.join(spread, "covariable").select("env", "covariable", (value / F.col("_sd") if scale else value).alias("value"))
 
 
 def env_pca(w: DataFrame, center: bool = True, scale: bool = True, rank: int | None = None, drop_constant: bool = True) -> Pca:
-    """By singular values of the environment-by-covariable matrix, of which one dimension (environments) is small."""
+    """Components from the Gram matrix of the smaller side, environments or covariables.
+
+    The Gram matrix is summed by tiles (``operators.tiles``), and it alone reaches the driver: at most ``MAX_SIDE`` rows, an error beyond. Its
+    eigenvectors are one of scores and loadings; the other is a join of all cells with them. Of a component without variance the loadings are 0.
+    """
     spark = w.sparkSession
-    m, envs, covs = to_matrix(w)
-    sd = m.std(axis=0, ddof=1)
-    if drop_constant:
-        varies = np.isfinite(sd) & (sd > 1e-12)
-        m, sd, covs = m[:, varies], sd[varies], [c for c, v in zip(covs, varies, strict=True) if v]
-    if np.isnan(m).any() or m.shape[1] == 0:
+    cells = checkpointed(w.select(F.col("env").cast("string").alias("env"), F.col("covariable").cast("string").alias("covariable"), F.col("value").cast("double").alias("value")))
+    z = checkpointed(_standard(cells, center, scale, drop_constant))
+    n, p, known = z.agg(F.countDistinct("env"), F.countDistinct("covariable"), F.count(F.when(F.col("value").isNotNull() & ~F.isnan("value"), 1))).first()
+    if p == 0 or known != n * p or cells.select("env").distinct().count() != n:
         raise ValueError("principal components need complete covariables that vary")
-    m = m - m.mean(axis=0) if center else m
-    m = m / sd if scale else m
-    u, s, vt = np.linalg.svd(m, full_matrices=False)
-    sign = np.sign(vt[np.arange(len(s)), np.abs(vt).argmax(axis=1)])
-    sign[sign == 0] = 1
-    share = s**2 / (s**2).sum()
-    k = min(rank or len(s), len(s))
-    variance = [(f"PC{i + 1}", i + 1, float(s[i] / np.sqrt(len(envs) - 1)), float(share[i]), float(share[: i + 1].sum())) for i in range(k)]
-    return Pca(_long(spark, (u * s * sign)[:, :k], envs, "env"), _long(spark, (vt.T * sign)[:, :k], covs, "covariable"), spark.createDataFrame(variance, "PC string, pc_order int, sd double, prop double, cum double"))
+    side, other = ("env", "covariable") if n <= p else ("covariable", "env")
+    if min(n, p) > MAX_SIDE:
+        raise ValueError(f"the smaller side has {min(n, p)} rows, more than {MAX_SIDE}")
+    gram, names, _ = to_matrix(moments(z, side, other).select("i", "j", F.col("xy").alias("value")), "i", "j")
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    k = min(rank or len(values), len(values))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1][:, :k]
+    share, s = values / values.sum(), np.sqrt(values[:k])
+    seen = s > 1e-7 * s[0]
+    pcs = [f"PC{i + 1}" for i in range(k)]
+    # Coordinates on the smaller side, and what a cell of it adds to the other side's.
+    onto = spark.createDataFrame([(name, [float(x) for x in v]) for name, v in zip(names, vectors, strict=True)], f"{side} string, onto array<double>")
+    sums = z.join(onto, side).select(other, "value", F.posexplode("onto").alias("at", "x")).groupBy(other, "at").agg(F.sum(F.col("value") * F.col("x")).alias("value"))
+    name = F.concat(F.lit("PC"), (F.col("at") + 1).cast("string")).alias("PC")
+    length, here = F.get(F.array(*[F.lit(float(x)) for x in s]), F.col("at")), F.get(F.array(*[F.lit(bool(x)) for x in seen]), F.col("at"))
+    own = onto.select(side, F.posexplode("onto").alias("at", "value"))
+    if side == "env":
+        scores, loadings = own.withColumn("value", F.col("value") * length), sums.withColumn("value", F.when(here, F.col("value") / length).otherwise(0.0))
+    else:
+        scores, loadings = sums, own
+    loadings = checkpointed(loadings.select("covariable", name, "value"))
+    sign = loadings.groupBy("PC").agg(F.max_by(F.signum("value"), F.struct(F.round(F.abs("value"), 12), F.col("covariable"))).alias("sign")).withColumn("sign", F.when(F.col("sign") < 0, -1.0).otherwise(1.0))
+    turned = lambda df, key: df.join(F.broadcast(sign), "PC").select(key, "PC", (F.col("value") * F.col("sign")).alias("value"))  # noqa: E731  a row for each component
+    variance = [(pc, i + 1, float(s[i] / np.sqrt(n - 1)), float(share[i]), float(share[: i + 1].sum())) for i, pc in enumerate(pcs)]
+    return Pca(turned(scores.select("env", name, "value"), "env"), turned(loadings, "covariable"), spark.createDataFrame(variance, "PC string, pc_order int, sd double, prop double, cum double"))
 
 
 def pca_scree(p: Pca, n: int = 15) -> DataFrame:

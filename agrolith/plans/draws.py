@@ -1,11 +1,12 @@
-"""Components of variance and intervals from draws that the tables stand for: kernels' effects from line items, phenotypes from orders."""
+"""Components of variance and intervals from draws that the tables stand for (kernels' effects and phenotypes from line items), and what principal components must give."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from agrolith.models import components
-from agrolith.plans.base import rounded, table
+from agrolith.operators import pca
+from agrolith.plans.base import EMBEDDING_W, embedding_w, rounded, table
 
 QUERIES, SQL = {}, {}
 
@@ -49,4 +50,25 @@ SQL["prediction_intervals"] = f"""WITH {_DRAWS}, k AS (SELECT env, gid, kernel,
 y AS (SELECT env, gid, sum(u) + any_value(mu) AS y FROM k JOIN m USING (draw) GROUP BY env, gid, draw)
 SELECT env, gid, round(avg(y), 4) AS yhat, round(quantile_cont(y, 0.025), 4) AS lower, round(quantile_cont(y, 0.975), 4) AS upper FROM y GROUP BY 1, 2"""
 
-QUERIES |= {f.__name__: f for f in (varcomp_draws, prediction_intervals)}
+def pca_power_sums(spark, sf_dir):
+    """Sums of powers of the components' variances, which no other rotation has: traces of powers of the correlation matrix."""
+    variance = pca.env_pca(embedding_w(spark, sf_dir)).variance.withColumn("v", F.col("sd") * F.col("sd"))
+    each = variance.select(F.posexplode(F.array(*[F.pow("v", F.lit(float(k))) for k in (1, 2, 3, 4)])).alias("k", "x"))
+    return rounded(each.groupBy((F.col("k") + 1).alias("power")).agg(F.sum("x").alias("total")), 3)
+
+
+SQL["pca_power_sums"] = f"""WITH {EMBEDDING_W}, z AS (SELECT env, covariable, (value - avg(value) OVER v) / stddev_samp(value) OVER v AS z FROM w WINDOW v AS (PARTITION BY covariable)), n AS (SELECT count(DISTINCT env) AS n FROM z),
+g AS (SELECT a.env AS i, b.env AS j, sum(a.z * b.z) / (any_value(n) - 1) AS v FROM n, z a JOIN z b USING (covariable) GROUP BY 1, 2), h AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2)
+SELECT CAST(power AS INTEGER) AS power, round(total, 3) AS total FROM (SELECT 1 AS power, sum(v) AS total FROM g WHERE i = j UNION ALL SELECT 2, sum(v) FROM h WHERE i = j UNION ALL SELECT 3, sum(h.v * g.v) FROM h JOIN g ON h.j = g.i AND h.i = g.j UNION ALL SELECT 4, sum(a.v * b.v) FROM h a JOIN h b ON a.j = b.i AND a.i = b.j)"""
+
+
+def pca_cells(spark, sf_dir):
+    """Scores times loadings give back every standardised cell."""
+    p = pca.env_pca(embedding_w(spark, sf_dir))
+    cells = p.scores.join(p.loadings.withColumnRenamed("value", "loading"), "PC").groupBy("env", "covariable").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
+    return rounded(cells)
+
+
+SQL["pca_cells"] = f"WITH {EMBEDDING_W} SELECT env, covariable, round((value - avg(value) OVER v) / stddev_samp(value) OVER v, 4) AS value FROM w WINDOW v AS (PARTITION BY covariable)"
+
+QUERIES |= {f.__name__: f for f in (varcomp_draws, prediction_intervals, pca_power_sums, pca_cells)}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.operators import copula, covariables, kernels, tiles
+from agrolith.operators import copula, covariables, kernels, pca, tiles
 
 
 def cells(seed, n=23, p=17, lost=0.15):
@@ -86,3 +86,32 @@ def test_correlations_equal_numpy(spark):
 def test_nothing(spark):
     w = spark.createDataFrame([], "env string, covariable string, value double")
     assert tiles.moments(w).collect() == [] and tiles.dominance(w.withColumn("k", F.lit("a")), "k", True).collect() == []
+
+
+@pytest.mark.parametrize("n, p", [(10, 64), (40, 7)])
+@pytest.mark.parametrize("how", [{}, {"scale": False}, {"center": False}, {"rank": 3}])
+def test_components_equal_the_svd(spark, n, p, how):
+    rng = np.random.default_rng(n)
+    m = rng.normal(size=(n, p)) * rng.uniform(0.5, 3, p) + rng.normal(size=p)
+    rows = [(f"E{i:02d}", f"c{j:02d}", float(m[i, j])) for i in range(n) for j in range(p)] + [(f"E{i:02d}", "flat", 2.0) for i in range(n)]
+    got = pca.env_pca(table(spark, rows), **how)
+    x = m - m.mean(axis=0) if how.get("center", True) else m
+    x = x / m.std(axis=0, ddof=1) if how.get("scale", True) else x
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    sign = np.sign(vt[np.arange(len(s)), np.abs(vt).argmax(axis=1)])
+    k = how.get("rank", len(s))
+    variance = got.variance.orderBy("pc_order").toPandas()
+    assert len(variance) == k and np.allclose(variance["sd"], s[:k] / np.sqrt(n - 1), atol=1e-6) and np.allclose(variance["prop"], (s**2 / (s**2).sum())[:k])
+    own = int((s[:k] > 1e-6).sum())
+    names = [f"PC{i + 1}" for i in range(own)]
+    scores = got.scores.groupBy("env").pivot("PC", names).agg(F.first("value")).orderBy("env").toPandas()[names].to_numpy()
+    loadings = got.loadings.where("covariable <> 'flat'").groupBy("covariable").pivot("PC", names).agg(F.first("value")).orderBy("covariable").toPandas()[names].to_numpy()
+    assert np.allclose(scores, (u * s * sign)[:, :own], atol=1e-6) and np.allclose(loadings, (vt.T * sign)[:, :own], atol=1e-6)
+    assert got.loadings.where("covariable = 'flat'").count() == 0
+
+
+def test_components_need_complete_columns(spark):
+    rows = [(f"E{i}", f"c{j}", float(i * j % 5)) for i in range(6) for j in range(1, 4)]
+    for bad in (rows[:-1], [*rows[:-1], (*rows[-1][:2], None)], [(e, c, 1.0) for e, c, _ in rows]):
+        with pytest.raises(ValueError, match="complete"):
+            pca.env_pca(table(spark, bad))
