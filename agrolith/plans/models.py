@@ -228,7 +228,7 @@ def env_target_importance(spark, sf_dir):
 @query("mined_types")
 def mined_types(spark, sf_dir):
     days = env_days(spark, sf_dir).withColumn("interval", F.lit("season"))
-    return groups.mine_types(days, ["T2M_MAX", "PRECTOT"], "univariate", k_range=range(2, 5), starts=5)[0]
+    return groups.mine_types(days, ["T2M_MAX", "PRECTOT"], "univariate")[0]
 
 
 @query("soil_classification")

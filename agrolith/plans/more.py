@@ -210,7 +210,7 @@ def grid_scan(spark, sf_dir):
 
 def _mined(spark, sf_dir, mode: str):
     days = env_days(spark, sf_dir).withColumn("interval", F.lit("season"))
-    return groups.mine_types(days, ["T2M_MAX", "T2M_MIN", "PRECTOT"], mode, k_range=range(2, 5), starts=5)[0]
+    return groups.mine_types(days, ["T2M_MAX", "T2M_MIN", "PRECTOT"], mode)[0]
 
 
 @query("mined_types_total", f"WITH {ENV_DAYS}, v AS (SELECT env, unnest(['T2M_MAX', 'T2M_MIN', 'PRECTOT']) AS feature_set FROM d) SELECT env, feature_set, count(*) AS days FROM v GROUP BY 1, 2")
