@@ -8,7 +8,7 @@ so a task holds a bounded number of ids, and no shuffle is needed. A partition's
 a lost task is run again, so the result is the same.
 
 Defined results: a null or empty text has the end id alone; null and repeated ids keep a row each; ties of the
-rule fall to the piece that came first; an empty table gives no rows. Columns other than those named are ignored.
+rule fall to the piece that came first; the rows with a null conversation id are one conversation; an empty table gives no rows. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.llm.common import bounded_batches, trimmed
+from agrolith.llm.chat import END, Template, format_conversations
+from agrolith.llm.common import bounded_batches, checkpoint, trimmed
 from agrolith.llm.encode import encoder
 
 
@@ -35,25 +36,25 @@ class Limits:
 
 @dataclass
 class Packer:
-    """Bins over pieces (tag, start, tokens, loss). With ``cut`` a piece may be divided anywhere; its loss tokens are then its last ones."""
+    """Bins over pieces (tag, start, tokens, loss, segments). With ``cut`` a piece may be divided anywhere; its loss tokens are then its last ones."""
 
     limits: Limits
     cut: bool
-    #: Pieces that wait: parallel lists of tags and rows of [start, tokens, loss].
+    #: Pieces that wait: parallel lists of tags and rows of [start, tokens, loss, segments].
     tags: list = field(default_factory=list)
     rows: list = field(default_factory=list)
 
-    def add(self, tag, tokens: int, loss: int) -> list[list[tuple]]:
+    def add(self, tag, tokens: int, loss: int, segments: int = 1) -> list[list[tuple]]:
         """Take a document; bins that its own tokens fill at once are returned."""
         most, start, out = self.limits, 0, []
-        if not self.cut and (tokens > most.tokens or loss > most.loss):
+        if not self.cut and (tokens > most.tokens or loss > most.loss or segments > most.segments):
             raise ValueError(f"an example of {tokens} tokens and {loss} loss tokens does not fit a sequence; allow cutting or filter it out")
         while self.cut and tokens - start >= most.tokens and most.loss >= most.tokens:
             out.append([(tag, start, most.tokens)])
             start += most.tokens
         if tokens > start:
             self.tags.append(tag)
-            self.rows.append([start, tokens - start, min(loss, tokens - start)])
+            self.rows.append([start, tokens - start, min(loss, tokens - start), segments])
         return out
 
     def fill(self, final: bool) -> Iterator[list[tuple]]:
@@ -61,7 +62,7 @@ class Packer:
         if not self.rows:
             return
         top = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        start, need = np.array([r[0] for r in self.rows]), np.array([[r[1], 1, r[2]] for r in self.rows])
+        start, need = np.array([r[0] for r in self.rows]), np.array([[r[1], r[3], r[2]] for r in self.rows])
         share, live = need / top, np.ones(len(need), bool)
         while live.any() and (final or need[live, 0].sum() >= self.limits.tokens):
             left, chosen = np.array([self.limits.tokens, self.limits.segments, self.limits.loss]), []
@@ -78,14 +79,14 @@ class Packer:
                     break
                 chosen.append((self.tags[k], int(start[k]), size))
                 loss = max(0, size - int(need[k, 0] - need[k, 2]))
-                left = left - (size, 1, loss)
+                left = left - (size, need[k, 1], loss)
                 start[k] += size
                 need[k] -= (size, 0, loss)
                 share[k] = need[k] / top
                 live[k] = need[k, 0] > 0
             yield chosen
         self.tags = [t for t, on in zip(self.tags, live, strict=True) if on]
-        self.rows = [[int(s), int(n[0]), int(n[2])] for s, n, on in zip(start, need, live, strict=True) if on]
+        self.rows = [[int(s), int(n[0]), int(n[2]), int(n[1])] for s, n, on in zip(start, need, live, strict=True) if on]
 
 
 def powers_of_two(bin_: list[tuple], full: int) -> list[list[tuple]]:
@@ -163,10 +164,11 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, limits: Limi
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(run), _SCHEMA)
 
 
-def pack_examples(df: DataFrame, limits: Limits, id_col: str, tokens_col: str, loss_col: str, window: int = 1024) -> DataFrame:
+def pack_examples(df: DataFrame, limits: Limits, id_col: str, tokens_col: str, loss_col: str, segments_col: str | None = None, window: int = 1024) -> DataFrame:
     """Place whole examples of instruction data, of which the tokens and loss-bearing tokens are known: id_col, sequence_id, offset.
 
-    A null count is 0; an example without tokens has no place and gets no row. One that exceeds a limit alone raises an error.
+    Without ``segments_col`` an example is one segment. A null count is 0; an example without tokens has no place and gets no row. One that
+    exceeds a limit alone raises an error.
     """
     schema = df.select(F.col(id_col).alias("example"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
@@ -188,11 +190,35 @@ def pack_examples(df: DataFrame, limits: Limits, id_col: str, tokens_col: str, l
         kinds = None
         for batch in batches:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64()]
-            for tag, tokens, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                packer.add(tag, tokens, min(loss, tokens))
+            for tag, tokens, loss, segments in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                packer.add(tag, tokens, min(loss, tokens), segments)
                 if len(packer.rows) >= window:
                     yield from place(False)
         yield from place(True)
 
     counts = [F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in (tokens_col, loss_col)]
-    return df.select(F.col(id_col).alias("example"), counts[0].alias("tokens"), counts[1].alias("loss")).mapInArrow(run, schema).withColumnRenamed("example", id_col)
+    segments = F.coalesce(F.col(segments_col).cast("long"), F.lit(0)) if segments_col else F.lit(1).cast("long")
+    rows = df.select(F.col(id_col).alias("example"), counts[0].alias("tokens"), counts[1].alias("loss"), segments.alias("segments"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("example", id_col)
+
+
+def conversation_demands(segments: DataFrame) -> DataFrame:
+    """(conv_id, tokens, turns, loss) of conversations as ``chat.format_conversations`` gives them; no text can hold the end marker."""
+    marked = F.hex("loss")
+    ones = F.length(marked) - F.length(F.replace(marked, F.lit("1"), F.lit("")))
+    turns = (F.length("formatted") - F.length(F.replace("formatted", F.lit(END), F.lit("")))) / len(END)
+    return segments.groupBy("conv_id").agg(F.sum(F.length("ids") / 4).cast("long").alias("tokens"), F.sum(turns).cast("long").alias("turns"), F.sum(ones).cast("long").alias("loss"))
+
+
+def pack_conversations(df: DataFrame, template: Template, limits: Limits, window: int = 1024) -> DataFrame:
+    """(conv_id, sequence_id, offset, tokens, turns, loss, fits): whole conversations in sequences under all three limits.
+
+    A conversation that exceeds a limit by itself has a sequence of its own and ``fits`` false.
+    """
+    demands = checkpoint(conversation_demands(format_conversations(df, template)).withColumn("key", F.monotonically_increasing_id()))
+    fits = (F.col("tokens") <= limits.tokens) & (F.col("turns") <= limits.segments) & (F.col("loss") <= limits.loss)
+    places = pack_examples(demands.where(fits), limits, "key", "tokens", "loss", "turns", window)
+    placed = demands.where(fits).join(places, "key").withColumn("fits", F.lit(True))
+    alone = demands.where(~fits).withColumns({"sequence_id": F.lit(1 << 60) + F.col("key"), "offset": F.lit(0).cast("long"), "fits": F.lit(False)})
+    names = ("conv_id", "sequence_id", "offset", "tokens", "turns", "loss", "fits")
+    return placed.select(*names).unionByName(alone.select(*names))

@@ -86,6 +86,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing rule on instruction data: conversations of ``conversations`` with their tokens, turns and loss tokens, all limits at work."""
+    template = chat.Template(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), template, packing.Limits(8192, 36, 6144))
+
+
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         folder = lexical.build(table(spark, sf_dir, "documents"), scratch.path)
@@ -109,7 +115,7 @@ def _prepared(query):
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack, op11_ranked_search, op12_best_fit_pack, op13_collocations)
+    found = (op1_language_id, op2_chroma_fingerprints, op3_token_files, op4_pii, op5_document_fingerprints, op6_near_duplicates, op7_mix_sources, op8_shards, op9_chat_format, op10_pack, pack_conversations, op11_ranked_search, op12_best_fit_pack, op13_collocations)
     return {f.__name__: _prepared(f) for f in found}
 
 

@@ -1,10 +1,12 @@
 """Language, audio, personal data, fingerprints, near-duplicates, mixing, sharding: against brute force."""
 
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from agrolith.llm import audio, fingerprint, lang_id, mixing, pii, probminhash, queries, sharding
@@ -361,6 +363,43 @@ def test_likeness_estimates_jaccard(spark, sf, real):
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
+def _plain_fingerprint(text, s=fingerprint.Settings()):
+    """Binning and densification in plain Python: signed 64-bit hashes as Spark makes them."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower().strip(" \t\n\x0b\f\r"))]
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+
+    def chained(own):
+        seed = 42
+        for x in own:
+            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    shingles = [chained(h)] if len(h) < s.words else [chained(h[i : i + s.words]) for i in range(len(h) - s.words + 1)]
+    low, bins = (1 << 64 - s.bin_bits) - 1, [None] * s.bins
+    for x in shingles:
+        at = (x >> 64 - s.bin_bits) + s.bins // 2
+        if x & low != low and (bins[at] is None or x < bins[at]):
+            bins[at] = x
+    rng = random.Random(s.bins)
+    drawn = lambda most: [rng.randrange(1, most) for _ in range(s.bins)]
+    factor, offset = drawn(65_537), drawn(65_537)
+    tries, filled, out = [drawn(s.bins) for _ in range(8)], [i for i, x in enumerate(bins) if x is not None], ""
+    for i, x in enumerate(bins):
+        lenders = [bins[(i + t[i]) % s.bins] for t in tries] + [bins[min(filled, key=lambda c: ((c + 1) * factor[i] + offset[i]) % 65_537 * s.bins + c)] if filled else 0]
+        own = x if x is not None else next(y for y in lenders if y is not None)
+        out += f"{own & (1 << s.kept_bits) - 1:0{s.kept_bits // 4}x}"
+    return out
+
+
+def test_bins_equal_plain_python(docs_of, real):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["alpha", "Beta", "\tgamma", "é日", "x\n"], k=rng.choice([0, 1, 4, 5, 6, 30, 400])))) for i in range(40)] + [(99, None), (98, "  ")]
+    df = docs_of(rows).unionByName(real.limit(20))
+    for r in fingerprint.with_fingerprint(df.select("text"), F.col("text"), "f").collect():
+        assert r["f"] == _plain_fingerprint(r["text"]), (r["text"] or "")[:60]
+
+
 def test_equal_texts_have_equal_fingerprints(odd, no_docs):
     f = fingerprint.with_fingerprint(odd, F.col("text"), "fp").collect()
     by = {}

@@ -195,3 +195,36 @@ def test_segments_encode_as_a_whole(path):
     whole, _ = chat.render(turns, ("assistant",))
     parts = [i for t in turns for i in tok.encode(chat.render([t], ("assistant",))[0], add_special_tokens=False).ids]
     assert tok.encode(whole, add_special_tokens=False).ids == parts
+
+
+def test_conversations_under_three_limits(spark, sf, path):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    long = spark.createDataFrame([(9000 + k, i, "user" if i % 2 else "assistant", "many words " * (400 if k else 3)) for k in range(2) for i in range(60)] + [(None, 0, "assistant", None), (None, 1, None, "x")], "conv_id long, turn int, role string, text string")
+    rows = rows.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text").unionByName(long)
+    template, limits = chat.Template(path("byte_bpe_50k.json")), packing.Limits(8192, 36, 6144)
+    out = packing.pack_conversations(rows, template, limits, window=64).collect()
+    segments = {}
+    for r in chat.format_conversations(rows, template).collect():
+        own = segments.setdefault(r["conv_id"], [0, 0, 0])
+        own[0] += len(r["ids"]) // 4
+        own[1] += len(chat.parse(r["formatted"]))
+        own[2] += sum(r["loss"])
+    assert {r["conv_id"]: [r["tokens"], r["turns"], r["loss"]] for r in out} == segments and len(out) == len(segments)
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append(r)
+    bound = [0, 0, 0]
+    for own in by.values():
+        sums = [sum(r[c] for r in own) for c in ("tokens", "turns", "loss")]
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["tokens"]
+        if own[0]["fits"]:
+            assert sums[0] <= 8192 and sums[1] <= 36 and sums[2] <= 6144
+            bound = [b + (s >= 0.85 * m) for b, s, m in zip(bound, sums, (8192, 36, 6144))]
+        else:
+            assert len(own) == 1 and own[0]["conv_id"] in (9000, 9001)
+    assert min(bound) > 0, bound
+    need = max(sum(v[i] for k, v in segments.items() if k not in (9000, 9001)) / m for i, m in enumerate((8192, 36, 6144)))
+    assert len(by) - 2 <= 1.6 * need + 2
