@@ -65,10 +65,66 @@ CLIMATE_SCENARIOS = ("ssp126", "ssp245", "ssp370", "ssp585")
 CLIMATE_PERIODS = ("2021-2040", "2041-2060", "2061-2080", "2081-2100")
 CLIMATE_GAPS = {"GFDL-ESM4": ("ssp245", "ssp585"), "FIO-ESM-2-0": ("ssp370",), "HadGEM3-GC31-LL": ("ssp370",)}
 
-#: Thermal regimes of zone codes 1 to 44, four moisture classes each, and the other labels from code 45 on.
-ZONE_REGIMES = ("Tropics, lowland", "Tropics, highland", "Subtropics, warm", "Subtropics, moderately cool", "Subtropics, cool", "Subtropics, cold", "Temperate, moderate", "Temperate, cool", "Temperate, cold", "Boreal, cold", "Boreal, very cold")
-ZONE_MOISTURE = ("semi-arid", "sub-humid", "humid", "per-humid")
-ZONE_OTHERS = ("Arctic / very cold", "Desert, tropical", "Desert, subtropical", "Desert, temperate", "Desert, boreal / arctic", "Land with severe soil constraints", "Land with steep terrain", "Land with poor drainage", "Water bodies", "Urban / built-up", "Protected area", "Barren / very sparse vegetation", "No data / unclassified")
+#: Labels of the zone codes 1 to 57, in order.
+ZONES = (
+    "Tropics, lowland; semi-arid",
+    "Tropics, lowland; sub-humid",
+    "Tropics, lowland; humid",
+    "Tropics, lowland; per-humid",
+    "Tropics, highland; semi-arid",
+    "Tropics, highland; sub-humid",
+    "Tropics, highland; humid",
+    "Tropics, highland; per-humid",
+    "Subtropics, warm; semi-arid",
+    "Subtropics, warm; sub-humid",
+    "Subtropics, warm; humid",
+    "Subtropics, warm; per-humid",
+    "Subtropics, moderately cool; semi-arid",
+    "Subtropics, moderately cool; sub-humid",
+    "Subtropics, moderately cool; humid",
+    "Subtropics, moderately cool; per-humid",
+    "Subtropics, cool; semi-arid",
+    "Subtropics, cool; sub-humid",
+    "Subtropics, cool; humid",
+    "Subtropics, cool; per-humid",
+    "Subtropics, cold; semi-arid",
+    "Subtropics, cold; sub-humid",
+    "Subtropics, cold; humid",
+    "Subtropics, cold; per-humid",
+    "Temperate, moderate; semi-arid",
+    "Temperate, moderate; sub-humid",
+    "Temperate, moderate; humid",
+    "Temperate, moderate; per-humid",
+    "Temperate, cool; semi-arid",
+    "Temperate, cool; sub-humid",
+    "Temperate, cool; humid",
+    "Temperate, cool; per-humid",
+    "Temperate, cold; semi-arid",
+    "Temperate, cold; sub-humid",
+    "Temperate, cold; humid",
+    "Temperate, cold; per-humid",
+    "Boreal, cold; semi-arid",
+    "Boreal, cold; sub-humid",
+    "Boreal, cold; humid",
+    "Boreal, cold; per-humid",
+    "Boreal, very cold; semi-arid",
+    "Boreal, very cold; sub-humid",
+    "Boreal, very cold; humid",
+    "Boreal, very cold; per-humid",
+    "Arctic / very cold",
+    "Desert, tropical",
+    "Desert, subtropical",
+    "Desert, temperate",
+    "Desert, boreal / arctic",
+    "Land with severe soil constraints",
+    "Land with steep terrain",
+    "Land with poor drainage",
+    "Water bodies",
+    "Urban / built-up",
+    "Protected area",
+    "Barren / very sparse vegetation",
+    "No data / unclassified",
+)
 
 #: Positions of a site against the training envelope, in order.
 POSITIONS = ("interpolation", "edge", "mild_extrapolation", "gross_extrapolation")

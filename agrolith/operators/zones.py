@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agrolith.constants import ZONE_MOISTURE, ZONE_OTHERS, ZONE_REGIMES
+from agrolith.constants import ZONES
 
 
 def zone_legend(spark: SparkSession) -> DataFrame:
     """code, label, thermal, moisture, arable of the 57 zones."""
-    labels = [f"{r}; {m}" for r in ZONE_REGIMES for m in ZONE_MOISTURE] + list(ZONE_OTHERS)
-    df = spark.createDataFrame(list(enumerate(labels, 1)), "code int, label string")
+    df = spark.createDataFrame(list(enumerate(ZONES, 1)), "code int, label string")
     moisture = F.lit(None).cast("string")
     for m in ("semi-arid", "humid", "sub-humid", "per-humid"):
         moisture = F.when(F.col("label").contains(m), m).otherwise(moisture)

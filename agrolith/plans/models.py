@@ -169,7 +169,7 @@ def varcomp_summary(spark, sf_dir):
 @query("kernel_cv")
 def kernel_cv(spark, sf_dir):
     data = _field(spark, sf_dir)
-    return gibbs.cv_metrics(gibbs.kernel_cv(spark, "value", data, kernelset.get_kernel(data, model="EMM"), 3, how=_HOW))
+    return gibbs.cv_metrics(gibbs.kernel_cv(spark, "value", data, kernelset.get_kernel(data, model="EMM"), how=_HOW))
 
 
 @query("kernel_model_mc")
@@ -205,12 +205,12 @@ def env_pca(spark, sf_dir):
 @query("pc_associate")
 def pc_associate(spark, sf_dir):
     w = embedding_w(spark, sf_dir)
-    return pca.pc_associate(pca.env_pca(w), w.select("env", F.col("covariable").alias("column"), "value"), 3)
+    return pca.pc_associate(pca.env_pca(w), w.select("env", F.col("covariable").alias("column"), "value"))
 
 
 @query("loading_curve")
 def loading_curve(spark, sf_dir):
-    out = typing.env_indices(env_days(spark, sf_dir), variables=["T2M_MAX", "T2M_MIN"], end_day=30, require_complete=False)
+    out = typing.env_indices(env_days(spark, sf_dir), variables=["T2M_MAX", "T2M_MIN", "PRECTOT"], end_day=30, require_complete=False)
     return pca.loading_curve(pca.env_pca(out.select("env", "covariable", "value")), out.select("covariable", "mid").distinct())
 
 

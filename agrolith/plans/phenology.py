@@ -80,9 +80,9 @@ def phenology_summary(spark, sf_dir):
     return rounded(ph.groupBy("env", "stage").agg(F.count("*").alias("days"), F.min("daysFromStart").alias("first_day"), F.max("cumTT").alias("cumTT")))
 
 
-@query("phenology_templates", "SELECT * FROM (VALUES ('maize', 10.0::DOUBLE, 30.0::DOUBLE, 'short', 8, 'R6', 2700.0::DOUBLE), ('wheat', 0.0, 26.0, 'long', 7, 'PM', 2400.0), ('cotton', 15.6, 32.0, 'neutral', 6, 'CO', 2100.0), ('alfalfa', 5.0, 30.0, 'long', 6, 'LF', 1000.0)) AS t(crop, t_base, t_upper, day_type, n_stages, final_stage, final_tt)")
+@query("phenology_templates", "SELECT * FROM (VALUES ('maize', 10.0::DOUBLE, 30.0::DOUBLE, 'short', 8, 'R6', 2700.0::DOUBLE), ('sorghum', 10.0::DOUBLE, 34.0::DOUBLE, 'short', 7, 'PM', 2300.0::DOUBLE), ('pearl_millet', 10.0::DOUBLE, 34.0::DOUBLE, 'short', 7, 'PM', 1700.0::DOUBLE), ('sugarcane', 12.0::DOUBLE, 32.0::DOUBLE, 'neutral', 4, 'MAT', 6500.0::DOUBLE), ('wheat', 0.0::DOUBLE, 26.0::DOUBLE, 'long', 7, 'PM', 2400.0::DOUBLE), ('barley', 0.0::DOUBLE, 26.0::DOUBLE, 'long', 7, 'PM', 2100.0::DOUBLE), ('oat', 0.0::DOUBLE, 25.0::DOUBLE, 'long', 7, 'PM', 2250.0::DOUBLE), ('rice', 10.0::DOUBLE, 30.0::DOUBLE, 'short', 7, 'PM', 2300.0::DOUBLE), ('soybean', 10.0::DOUBLE, 30.0::DOUBLE, 'short', 7, 'R8', 2400.0::DOUBLE), ('common_bean', 10.0::DOUBLE, 30.0::DOUBLE, 'short', 7, 'R9', 1500.0::DOUBLE), ('chickpea', 0.0::DOUBLE, 30.0::DOUBLE, 'long', 6, 'PM', 1900.0::DOUBLE), ('groundnut', 10.0::DOUBLE, 32.0::DOUBLE, 'neutral', 7, 'R8', 2300.0::DOUBLE), ('cowpea', 11.0::DOUBLE, 32.0::DOUBLE, 'short', 6, 'PM', 1450.0::DOUBLE), ('canola', 5.0::DOUBLE, 27.0::DOUBLE, 'long', 7, 'PM', 2100.0::DOUBLE), ('sunflower', 6.0::DOUBLE, 30.0::DOUBLE, 'neutral', 7, 'R9', 2000.0::DOUBLE), ('cotton', 15.6::DOUBLE, 32.0::DOUBLE, 'neutral', 6, 'CO', 2100.0::DOUBLE), ('potato', 7.0::DOUBLE, 30.0::DOUBLE, 'long', 5, 'MAT', 1900.0::DOUBLE), ('cassava', 13.0::DOUBLE, 30.0::DOUBLE, 'neutral', 5, 'MAT', 6000.0::DOUBLE), ('safflower', 5.0::DOUBLE, 30.0::DOUBLE, 'long', 7, 'PM', 2200.0::DOUBLE), ('alfalfa', 5.0::DOUBLE, 30.0::DOUBLE, 'long', 6, 'LF', 1000.0::DOUBLE)) AS t(crop, t_base, t_upper, day_type, n_stages, final_stage, final_tt)")
 def phenology_templates(spark, sf_dir):
-    return phenology.phenology_templates(spark).where(F.col("crop").isin("maize", "wheat", "cotton", "alfalfa")).select("crop", "t_base", "t_upper", "day_type", "n_stages", "final_stage", "final_tt")
+    return phenology.phenology_templates(spark).select("crop", "t_base", "t_upper", "day_type", "n_stages", "final_stage", "final_tt")
 
 
 @query("show_phenology", "SELECT * FROM (VALUES (1, 'VE', 125.0::DOUBLE, 125.0::DOUBLE), (2, 'V6', 475.0, 350.0), (3, 'V12', 740.0, 265.0), (4, 'VT', 1135.0, 395.0), (5, 'R1', 1250.0, 115.0), (6, 'R3', 1660.0, 410.0), (7, 'R5', 2110.0, 450.0), (8, 'R6', 2700.0, 590.0)) AS t(stage_order, stage, cum_tt, increment)")
