@@ -86,6 +86,12 @@ def restart_from_log(spark: SparkSession, path: str, fetch: Callable[[dict], Dat
     return run.go(run.sites(), fetch, retry_failed, **going)
 
 
+def restart_in_batches(spark: SparkSession, path: str, service: Callable[[dict], pd.DataFrame], schema: str, retry_failed: bool = True, **going) -> DataFrame:
+    """Like ``restart_from_log``, in batches of sites that tasks fetch; see ``Run.go_parallel``."""
+    run = Run.restart(spark, path)
+    return run.go_parallel(run.sites(), service, schema, retry_failed=retry_failed, **going)
+
+
 def chunks(items: Sequence, size: int) -> list:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
@@ -161,8 +167,8 @@ class Run:
         """Fetch what is left in batches of ``chunk`` sites, so many at once in tasks, with a pause between batches; return all parts together.
 
         A batch is one job that writes its rows and one that writes its records. A batch that is lost midway has no records, so its
-        sites are fetched again. ``service`` runs in tasks, and its rows follow ``schema``, with a string ``env``. Ends early when
-        ``max_streak`` sites in a row by name, all of a batch, have failed.
+        sites are fetched again. ``service`` runs in tasks, and its rows follow ``schema``, with a string ``env``. Ends early, after a batch, when
+        the last ``max_streak`` sites or more have failed, counted by name and over batches.
         """
         self._check(sites)
         sites = self._kept_sites(sites)
@@ -177,7 +183,7 @@ class Run:
                     except Exception as e:  # one site's failure is a record, not the end
                         yield pd.DataFrame([{**dict.fromkeys(names), "_env": site["env"], "_message": str(e)[:200] or type(e).__name__}])
 
-        left = todo(sites, self.log(), retry_failed).orderBy("env").collect()
+        left, streak = todo(sites, self.log(), retry_failed).orderBy("env").collect(), 0
         for at, own in enumerate(chunks(left, chunk)):
             if at and pause:
                 time.sleep(pause)
@@ -192,7 +198,9 @@ class Run:
             records = states.select(F.lit(seq).alias("seq"), "env", F.lit(key).alias("key"), F.when(ok, "ok").otherwise("failed").alias("status"), F.lit(now).alias("time"), F.coalesce("message", F.lit("")).alias("message"))
             records.coalesce(1).write.mode("append").json(f"{self.path}/progress")
             _remove(self.spark, f"{self.path}/staging/{key}")
-            if len(own) >= self.max_streak and self.log().where((F.col("seq") == seq) & (F.col("status") == "ok")).isEmpty():
+            for r in self.log().where(F.col("seq") == seq).orderBy("env").select("status").collect():  # a batch's records
+                streak = streak + 1 if r["status"] == "failed" else 0
+            if streak >= self.max_streak:
                 break
         return self.assemble()
 

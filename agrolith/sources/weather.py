@@ -109,3 +109,18 @@ def get_soil_resumable(spark: SparkSession, path: str, sites: DataFrame, fetch:
         return long
     names = sorted(r[0] for r in long.select("feature").distinct().collect())
     return long.groupBy("env").pivot("feature", names).agg(F.first(stat))
+
+
+_SOIL = "env string, lon double, lat double, json string"
+
+
+def get_soil_in_batches(spark: SparkSession, path: str, sites: DataFrame, service: Callable[[dict], str], request: dict, wide: bool = False, stat: str = "mean", **going) -> DataFrame:
+    """Soil profiles by a run that can be taken up again, in batches of places that tasks fetch; see ``Run.go_parallel``.
+
+    Each place is asked once, however many sites share it. ``service`` returns a JSON response; responses are stored as they come and
+    parsed at the end, so a restart (``restart_in_batches``) needs no service for what is done.
+    """
+    places = sites.select("lon", "lat").dropDuplicates().select(F.concat_ws(",", "lon", "lat").alias("env"), "lon", "lat")
+    ask = lambda site: pd.DataFrame([{"env": site["env"], "lon": site["lon"], "lat": site["lat"], "json": service(site)}])
+    responses = Run(spark, path, {"kind": "soil", **request}).go_parallel(places, ask, _SOIL, **going)
+    return soil_profiles(responses.drop("env"), sites, wide, stat)
