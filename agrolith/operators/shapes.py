@@ -90,21 +90,21 @@ def _inside(x: Column, y: Column) -> Column:
     return (n + more) % 2 == 1
 
 
-def _met(points: DataFrame, polygons: DataFrame, size: float, lon: str, lat: str) -> DataFrame:
+def _met(points: DataFrame, polygons: DataFrame, size: float, lon: str, lat: str, how: str) -> DataFrame:
     """The points joined with the index's rows of their cell that hold them."""
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     here = points.where(x.isNotNull() & y.isNotNull()).withColumns({"_x": x, "_y": y, "_row": _floor(y / size), "_col": _floor(x / size)})
     index = cells(strips(edges(polygons), size), size).select(F.col("row").alias("_r"), F.col("col").alias("_c"), "shape", *[F.col(c).alias(f"_{c}") for c in ("odd", "turns", "near")])
     at_cell = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c"))
-    return here.join(index.hint("merge"), at_cell & _inside(F.col("_x"), F.col("_y")))
+    return here.join(index.hint("merge"), at_cell & _inside(F.col("_x"), F.col("_y")), how)
 
 
 def located(points: DataFrame, polygons: DataFrame, size: float = 1.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Columns of the points, and ``shape``: a row for each shape that holds the point. ``size``: of a cell, in degrees."""
-    return _met(points, polygons, size, lon, lat).drop("_x", "_y", "_row", "_col", "_r", "_c", "_odd", "_turns", "_near")
+    return _met(points, polygons, size, lon, lat, "inner").drop("_x", "_y", "_row", "_col", "_r", "_c", "_odd", "_turns", "_near")
 
 
 def clipped(points: DataFrame, polygons: DataFrame, size: float = 1.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """The points inside any of the shapes."""
-    inside = located(points.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")).distinct(), polygons, size).select(F.col("lon").alias(lon), F.col("lat").alias(lat)).distinct()
-    return points.join(inside, [lon, lat], "left_semi").select(*points.columns)
+    """The points inside any of the shapes: each place is looked up once, up to the first shape that holds it."""
+    inside = _met(points.select(lon, lat).distinct(), polygons, size, lon, lat, "left_semi").select(lon, lat)
+    return points.join(inside.hint("merge"), [lon, lat], "left_semi").select(*points.columns)
